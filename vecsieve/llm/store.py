@@ -40,7 +40,7 @@ class Cuts:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/vecsieve-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: list[tuple[DataFrame, str]] = []
         self.renumbered = False
         atexit.register(self._sweep)
 
@@ -48,12 +48,13 @@ class Cuts:
         path = f"{self.root}/{len(self.paths)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths.append((out, path))
         return out
 
     def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            _delete(self.spark, self.paths[id(df)])
+        for held, path in self.paths:
+            if any(held is df for df in frames):
+                _delete(self.spark, path)
 
     def _sweep(self) -> None:
         try:
