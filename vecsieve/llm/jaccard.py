@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -32,6 +32,8 @@ from .store import Cuts, keyed
 ROOM = 400
 LEADERS = 16
 VOTES = 8
+#: Percent of a set by which prefixes are longer than for one shared token, and of which partners share all.
+EXTRA = 35
 HELD = "uid long, n long, tokens binary, prefix binary, votes array<long>"
 
 
@@ -42,11 +44,11 @@ def need(n, percent: int):
 
 def prefix_length(n, percent: int):
     """Tokens among which partners share at least ``sure(n)``, and more for larger partners."""
-    return np.minimum(n, n - need(n, percent) + 1 + n // 10)
+    return np.minimum(n, n - need(n, percent) + 1 + n * EXTRA // 100)
 
 
 def sure(n, percent: int):
-    return 1 + need(n, percent) // 10
+    return 1 + need(n, percent) * EXTRA // 100
 
 
 def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -126,10 +128,16 @@ def _surviving(size: int, percent: int, buckets: int):
         ]
         again = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
         out = [[], [], [], [], []]
-        for uid, s in zip(uids, token_sets(texts, size)):
-            p = s[: int(prefix_length(len(s), percent))]
-            bucket, short = _pack(p, buckets)
-            hit = p[np.isin(short.astype(np.uint64) | (bucket << A.U(32)), again)]
+        sets = token_sets(texts, size)
+        heads = [s[: int(prefix_length(len(s), percent))] for s in sets]
+        values = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
+        bucket, short = _pack(values, buckets)
+        place = short.astype(np.uint64) | (bucket << A.U(32))
+        at = np.minimum(np.searchsorted(again, place), max(0, len(again) - 1))
+        recurs = again[at] == place if len(again) else np.zeros(len(place), bool)
+        edges = np.cumsum([0, *map(len, heads)])
+        for k, (uid, s) in enumerate(zip(uids, sets)):
+            hit = values[edges[k] : edges[k + 1]][recurs[edges[k] : edges[k + 1]]]
             lives = len(s) > 0 and len(hit) >= sure(len(s), percent)
             votes = hit[:VOTES].view(np.int64).tolist() if lives else None
             for column, v in zip(out, (uid, len(s), s.tobytes() if lives else None, hit.tobytes() if lives else None, votes)):
@@ -245,7 +253,11 @@ def _groups(cuts: Cuts, held: DataFrame) -> DataFrame:
     first = cuts.cut(votes.groupBy("tok").agg(F.min("uid").alias("lead")))
     tally = votes.join(first, "tok").groupBy("uid", "lead").agg(F.count(F.lit(1)).alias("c"))
     best = tally.groupBy("uid").agg(F.max(F.struct("c", (-F.col("lead")).alias("less"))).alias("best"))
-    chosen = cuts.cut(held.select("uid", "n").join(best.select("uid", (-F.col("best.less")).alias("grp")), "uid"))
+    leads = cuts.cut(best.select("uid", (-F.col("best.less")).alias("lead"), F.col("best.c").alias("c")))
+    strong = leads.filter(F.col("c") >= VOTES // 2).select(F.col("uid").alias("a"), F.col("lead").alias("b"))
+    roots = components(cuts, strong).select(F.col("uid").alias("lead"), "root")
+    chosen = leads.join(roots, "lead", "left").select("uid", F.coalesce("root", "lead").alias("grp"))
+    chosen = cuts.cut(held.select("uid", "n").join(chosen, "uid"))
     sizes = cuts.cut(chosen.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / ROOM).cast("long").alias("subs")))
     return cuts.cut(chosen.join(sizes, "grp").withColumn("sub", F.pmod(F.xxhash64("uid"), F.col("subs"))))
 
@@ -257,13 +269,16 @@ def _visits(cuts: Cuts, held: DataFrame, groups: DataFrame, percent: int) -> Dat
     spread = cuts.cut(spread)
     if spread.isEmpty():
         return None
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA / 100)
     shared = cuts.cut(tokens.join(spread, "tok"))
     matrix = cuts.cut(shared.groupBy("tok", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("grp", "other"))
-    near = shared.join(matrix, "tok").filter(F.col("other") > F.col("grp"))
+    spans = matrix.groupBy("tok").agg(F.count(F.lit(1)).alias("groups"))
+    # partners share at least ``least`` of these tokens: the commonest least - 1 of a document can go
+    rare = Window.partitionBy("uid").orderBy(F.col("groups").desc(), "tok")
+    kept = shared.join(cuts.cut(spans), "tok").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") >= least)
+    near = cuts.cut(kept.select("tok", "uid", "n", "grp")).join(matrix, "tok").filter(F.col("other") > F.col("grp"))
     near = near.filter((F.col("lo") * percent <= F.col("n") * 100) & (F.col("hi") * 100 >= F.col("n") * percent))
-    met = near.groupBy("uid", "n", "other").agg(F.count(F.lit(1)).alias("c"))
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
-    return met.filter(F.col("c") >= least).select("uid", F.col("other").alias("grp"))
+    return near.select("uid", F.col("other").alias("grp")).distinct()
 
 
 def _links(cuts: Cuts, held: DataFrame, percent: int) -> DataFrame:
@@ -322,7 +337,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = copies.count()
     per_chunk = min(4000, max(300, count // 500))
     chunks = 1 + count // per_chunk
-    buckets = max(8, min(per_chunk, count // 1600))
+    buckets = max(8, min(per_chunk, count // 1000))
     chunk = F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk")
     dealt = rows.select(chunk, "uid", "text").groupBy("chunk")
     skip = copies.filter("uid != rep").select(chunk, "uid")
