@@ -32,8 +32,9 @@ from .store import Cuts, keyed
 ROOM = 400
 LEADERS = 16
 VOTES = 8
-#: Percent of a set by which prefixes are longer than for one shared token, and of which partners share all.
-EXTRA = 35
+#: Percent of a set by which prefixes are longer than for one shared token, and of which partners share all:
+#: of the prefixes that are counted, and of the shorter ones that meet other groups.
+EXTRA, MEET = 35, 10
 HELD = "uid long, n long, tokens binary, prefix binary, votes array<long>"
 
 
@@ -42,13 +43,13 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def prefix_length(n, percent: int):
+def prefix_length(n, percent: int, extra: int = EXTRA):
     """Tokens among which partners share at least ``sure(n)``, and more for larger partners."""
-    return np.minimum(n, n - need(n, percent) + 1 + n * EXTRA // 100)
+    return np.minimum(n, n - need(n, percent) + 1 + n * extra // 100)
 
 
-def sure(n, percent: int):
-    return 1 + need(n, percent) * EXTRA // 100
+def sure(n, percent: int, extra: int = EXTRA):
+    return 1 + need(n, percent) * extra // 100
 
 
 def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -137,8 +138,10 @@ def _surviving(size: int, percent: int, buckets: int):
         recurs = again[at] == place if len(again) else np.zeros(len(place), bool)
         edges = np.cumsum([0, *map(len, heads)])
         for k, (uid, s) in enumerate(zip(uids, sets)):
-            hit = values[edges[k] : edges[k + 1]][recurs[edges[k] : edges[k + 1]]]
-            lives = len(s) > 0 and len(hit) >= sure(len(s), percent)
+            again_here = recurs[edges[k] : edges[k + 1]]
+            lives = len(s) > 0 and int(again_here.sum()) >= sure(len(s), percent)
+            meets = int(prefix_length(len(s), percent, MEET))
+            hit = heads[k][:meets][again_here[:meets]]
             votes = hit[:VOTES].view(np.int64).tolist() if lives else None
             for column, v in zip(out, (uid, len(s), s.tobytes() if lives else None, hit.tobytes() if lives else None, votes)):
                 column.append(v)
@@ -243,7 +246,8 @@ def _rooms(percent: int):
 
 
 def _open(seats: DataFrame, held: DataFrame, percent: int, rooms: int) -> DataFrame:
-    full = seats.join(held.select("uid", "tokens"), "uid").withColumn("room", F.pmod(F.xxhash64("grp", "sub"), F.lit(rooms)))
+    # both sides grow with the corpus: neither is broadcast at any size
+    full = seats.hint("merge").join(held.select("uid", "tokens"), "uid").withColumn("room", F.pmod(F.xxhash64("grp", "sub"), F.lit(rooms)))
     return full.groupBy("room").applyInArrow(_rooms(percent), "a long, b long")
 
 
@@ -269,8 +273,8 @@ def _visits(cuts: Cuts, held: DataFrame, groups: DataFrame, percent: int) -> Dat
     spread = cuts.cut(spread)
     if spread.isEmpty():
         return None
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA / 100)
-    shared = cuts.cut(tokens.join(spread, "tok"))
+    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * MEET / 100)
+    shared = cuts.cut(tokens.hint("merge").join(spread, "tok"))
     matrix = cuts.cut(shared.groupBy("tok", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("grp", "other"))
     spans = matrix.groupBy("tok").agg(F.count(F.lit(1)).alias("groups"))
     # partners share at least ``least`` of these tokens: the commonest least - 1 of a document can go
