@@ -23,7 +23,7 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The n rows least by a hash of key and seed, without replacement; all if n is 0 or too large."""
     if n <= 0:
         return df
-    place = F.pmod(F.col(key) * F.lit(2654435761) + F.lit(seed), F.lit(2**32))
+    place = F.pmod(F.pmod(F.col(key), F.lit(2**30)) * F.lit(2654435761) + F.lit(seed), F.lit(2**32))
     return df.orderBy(place, key).limit(n)
 
 
