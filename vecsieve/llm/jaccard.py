@@ -1,15 +1,16 @@
 """Exact n-gram Jaccard join by a token-group matrix.
 
 1. Copies of a text are represented by the first.
-2. Tokens (shingle fingerprints) stand in the order of their values. Documents at or
-   above the threshold share a number of tokens within the prefixes of their sets; tokens
-   of prefixes are counted over the corpus in packed blocks, and a document with too few
-   tokens that recur can have no partner.
-3. The others are partitioned into groups of similar documents: most of a member's least
-   recurring tokens have the group's leader as their first holder.
-4. The matrix of tokens and groups says which other groups a document's prefix meets
-   often enough. It visits those; there its overlap with the union of the group's tokens
-   bounds every overlap with a member, and only qualifying groups are opened.
+2. Tokens (shingle fingerprints) are counted over the corpus in packed blocks. A document of
+   which fewer tokens recur than a partner must share can have none.
+3. The tokens that recur stand in one order for all documents, rarest first by powers of
+   two. Partners share one before the last ``need(n) - 1`` of either: only those before it,
+   a document's prefix, look for partners. Passages that many documents quote fall out.
+   Documents are partitioned into groups of similar ones: most of a member's votes, tokens
+   of its prefix, have the group's leader as first holder.
+4. The matrix of tokens and groups says which other groups a document's prefix meets. It
+   visits those; there its overlap with the union of the group's tokens bounds every
+   overlap with a member, and only qualifying groups are opened.
 5. Large groups are split into rooms which share the group's first members. Documents
    that these do not connect visit every room.
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -32,9 +33,6 @@ from .store import Cuts, keyed
 ROOM = 400
 LEADERS = 16
 VOTES = 8
-#: Percent of a set by which prefixes are longer than for one shared token, and of which partners share all:
-#: of the prefixes that are counted, and of the shorter ones that meet other groups.
-EXTRA, MEET = 35, 10
 HELD = "uid long, n long, tokens binary, prefix binary, votes array<long>"
 
 
@@ -43,15 +41,6 @@ def need(n, percent: int):
     return -(-percent * n // 100)
 
 
-def prefix_length(n, percent: int, extra: int = EXTRA):
-    """Tokens among which partners share at least ``sure(n)``, and more for larger partners."""
-    return np.minimum(n, n - need(n, percent) + 1 + n * extra // 100)
-
-
-def sure(n, percent: int, extra: int = EXTRA):
-    return 1 + need(n, percent) * extra // 100
-
-
 def token_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Sorted distinct shingle fingerprints of each text; fewer words than ``size`` make one shingle."""
     out: list[np.ndarray] = []
@@ -77,73 +66,81 @@ def _pack(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (values & A.U(0xFFFFFFFF)) % A.U(buckets), (values >> A.U(32)).astype(np.uint32)
 
 
+def _steps(ascending: np.ndarray) -> bytes:
+    """Differences of 32-bit numbers, their bytes by place: what is mostly zero compresses."""
+    return np.diff(ascending, prepend=A.U(0).astype(np.uint32)).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _summed(steps: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _representatives(left: pa.Table, skip: pa.Table) -> tuple[list[int], list[bytes]]:
     drop = set(skip["uid"].to_pylist())
     rows = [(u, t) for u, t in zip(left["uid"].to_pylist(), bodies(left["text"])) if u not in drop]
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def _counting(size: int, percent: int, buckets: int):
+def _counting(size: int, buckets: int):
     def run(left: pa.Table, skip: pa.Table) -> pa.Table:
         out = [[], [], [], []]
         _, texts = _representatives(left, skip)
-        sets = [s[: int(prefix_length(len(s), percent))] for s in token_sets(texts, size)]
+        sets = token_sets(texts, size)
         if sets and len(values := np.concatenate(sets)):
             once, n = np.unique(values, return_counts=True)
             bucket, short = _pack(once, buckets)
             order = np.argsort(bucket, kind="stable")
-            bucket, short, many = bucket[order], short[order], (n > 1)[order]
+            bucket, short, n = bucket[order], short[order], np.minimum(n, 255).astype(np.uint8)[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             chunk = left["chunk"][0].as_py()
             for b in range(buckets):
                 i, j = edges[b], edges[b + 1]
                 if i < j:
-                    for column, v in zip(out, (b, chunk, short[i:j].tobytes(), np.packbits(many[i:j]).tobytes())):
+                    for column, v in zip(out, (b, chunk, _steps(short[i:j]), n[i:j].tobytes())):
                         column.append(v)
         types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(out, types)], ["bucket", "chunk", "tokens", "many"])
+        return pa.table([pa.array(x, t) for x, t in zip(out, types)], ["bucket", "chunk", "tokens", "times"])
 
     return run
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Per chunk, its tokens that other chunks have too or that it has twice."""
-    parts = [np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()]
-    many = [np.unpackbits(np.frombuffer(m, np.uint8), count=len(p)).astype(bool) for p, m in zip(parts, table["many"].to_pylist())]
-    values, which, n = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    hit = (n > 1)[which] | np.concatenate(many)
-    again = np.zeros(len(values), bool)
-    again[which[hit]] = True
-    kept = np.split(again[which], np.cumsum([len(p) for p in parts])[:-1])
-    found = [p[k].tobytes() for p, k in zip(parts, kept)]
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "tokens": pa.array(found, pa.binary())})
+    """Per chunk, its tokens that two documents have, and the power of two that so many have."""
+    parts = [_summed(x) for x in table["tokens"].to_pylist()]
+    times = np.concatenate([np.frombuffer(x, np.uint8) for x in table["times"].to_pylist()])
+    _, which = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(which, weights=times)
+    level = np.log2(total).astype(np.uint8)[which]
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    kept = [(p[k], lv[k]) for p, k, lv in zip(parts, np.split(total[which] > 1, cuts), np.split(level, cuts))]
+    found = [pa.array(x, pa.binary()) for x in ([_steps(p) for p, _ in kept], [lv.tobytes() for _, lv in kept])]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "tokens": found[0], "levels": found[1]})
 
 
 def _surviving(size: int, percent: int, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         uids, texts = _representatives(left, right)
-        known = [
-            np.frombuffer(t, np.uint32).astype(np.uint64) | (A.U(b) << A.U(32))
-            for b, t in zip(right["bucket"].to_pylist(), right["tokens"].to_pylist())
-            if b is not None
-        ]
-        again = np.unique(np.concatenate(known)) if known else np.zeros(0, np.uint64)
+        notes = [(b, t, lv) for b, t, lv in zip(*(right[k].to_pylist() for k in ("bucket", "tokens", "levels"))) if t]
+        again = np.concatenate([np.zeros(0, np.uint64), *(_summed(t).astype(np.uint64) | (A.U(b) << A.U(32)) for b, t, _ in notes)])
+        again, at = np.unique(again, return_index=True)
+        levels = np.frombuffer(b"".join(lv for *_, lv in notes), np.uint8)[at]
         out = [[], [], [], [], []]
         sets = token_sets(texts, size)
-        heads = [s[: int(prefix_length(len(s), percent))] for s in sets]
-        values = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
-        bucket, short = _pack(values, buckets)
+        bucket, short = _pack(np.concatenate([np.zeros(0, np.uint64), *sets]), buckets)
         place = short.astype(np.uint64) | (bucket << A.U(32))
         at = np.minimum(np.searchsorted(again, place), max(0, len(again) - 1))
         recurs = again[at] == place if len(again) else np.zeros(len(place), bool)
-        edges = np.cumsum([0, *map(len, heads)])
+        edges = np.cumsum([0, *map(len, sets)])
         for k, (uid, s) in enumerate(zip(uids, sets)):
-            again_here = recurs[edges[k] : edges[k + 1]]
-            lives = len(s) > 0 and int(again_here.sum()) >= sure(len(s), percent)
-            meets = int(prefix_length(len(s), percent, MEET))
-            hit = heads[k][:meets][again_here[:meets]]
-            votes = hit[:VOTES].view(np.int64).tolist() if lives else None
-            for column, v in zip(out, (uid, len(s), s.tobytes() if lives else None, hit.tobytes() if lives else None, votes)):
+            here = np.flatnonzero(recurs[edges[k] : edges[k + 1]])
+            spare = len(here) - int(need(len(s), percent))
+            lives = len(s) > 0 and spare >= 0
+            tokens = prefix = votes = None
+            if lives:
+                rarest = np.argsort(levels[at[edges[k] + here]], kind="stable")[: spare + 1]
+                head = np.sort(s[here[rarest]])
+                tokens, prefix, votes = s.tobytes(), head.tobytes(), head[:VOTES].view(np.int64).tolist()
+            for column, v in zip(out, (uid, len(s), tokens, prefix, votes)):
                 column.append(v)
         types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.table([pa.array(x, t) for x, t in zip(out, types)], [x.split()[0] for x in HELD.split(", ")])
@@ -267,20 +264,15 @@ def _groups(cuts: Cuts, held: DataFrame) -> DataFrame:
 
 
 def _visits(cuts: Cuts, held: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
-    """``(uid, grp)``: groups after its own whose tokens a document's prefix meets often enough."""
+    """``(uid, grp)``: groups after its own which a document's prefix meets."""
     tokens = held.select("uid", "prefix").join(groups.select("uid", "n", "grp"), "uid").mapInArrow(_matrix_rows, "tok long, uid long, n long, grp long")
     spread = tokens.groupBy("tok").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 != g1").select("tok")
     spread = cuts.cut(spread)
     if spread.isEmpty():
         return None
-    least = 1 + F.floor(F.ceil(F.col("n") * percent / 100) * MEET / 100)
     shared = cuts.cut(tokens.hint("merge").join(spread, "tok"))
     matrix = cuts.cut(shared.groupBy("tok", "grp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("grp", "other"))
-    spans = matrix.groupBy("tok").agg(F.count(F.lit(1)).alias("groups"))
-    # partners share at least ``least`` of these tokens: the commonest least - 1 of a document can go
-    rare = Window.partitionBy("uid").orderBy(F.col("groups").desc(), "tok")
-    kept = shared.join(cuts.cut(spans), "tok").withColumn("_r", F.row_number().over(rare)).filter(F.col("_r") >= least)
-    near = cuts.cut(kept.select("tok", "uid", "n", "grp")).join(matrix, "tok").filter(F.col("other") > F.col("grp"))
+    near = shared.hint("merge").join(matrix, "tok").filter(F.col("other") > F.col("grp"))
     near = near.filter((F.col("lo") * percent <= F.col("n") * 100) & (F.col("hi") * 100 >= F.col("n") * percent))
     return near.select("uid", F.col("other").alias("grp")).distinct()
 
@@ -345,10 +337,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chunk = F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk")
     dealt = rows.select(chunk, "uid", "text").groupBy("chunk")
     skip = copies.filter("uid != rep").select(chunk, "uid")
-    counted = dealt.cogroup(skip.groupBy("chunk")).applyInArrow(_counting(size, percent, buckets), "bucket long, chunk long, tokens binary, many binary")
-    told = counted.groupBy("bucket").applyInArrow(_recurring, "chunk long, bucket long, tokens binary")
-    nothing = [F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("tokens")]
-    notes = told.select("chunk", F.lit(None).cast("long").alias("uid"), "bucket", "tokens").unionByName(skip.select("chunk", "uid", *nothing))
+    counted = dealt.cogroup(skip.groupBy("chunk")).applyInArrow(_counting(size, buckets), "bucket long, chunk long, tokens binary, times binary")
+    told = counted.groupBy("bucket").applyInArrow(_recurring, "chunk long, bucket long, tokens binary, levels binary")
+    nothing = [F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("tokens"), F.lit(None).cast("binary").alias("levels")]
+    notes = told.select("chunk", F.lit(None).cast("long").alias("uid"), "bucket", "tokens", "levels").unionByName(skip.select("chunk", "uid", *nothing))
     held = cuts.cut(dealt.cogroup(notes.groupBy("chunk")).applyInArrow(_surviving(size, percent, buckets), HELD))
     roots = components(cuts, _links(cuts, held.filter("tokens is not null"), percent))
     sizes = held.select(F.col("uid").alias("rep"), "n").join(roots.withColumnRenamed("uid", "rep"), "rep", "left")
