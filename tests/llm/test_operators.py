@@ -86,6 +86,17 @@ def test_ngram_join(spark, monkeypatch, room):
     assert got == B.op10(rows)
 
 
+def test_packed_tokens_come_back():
+    import numpy as np
+
+    from vecsieve.llm.jaccard import _steps, _summed
+
+    rng = np.random.default_rng(1)
+    for values in ([], [0], [2**32 - 1], [5, 5, 5], np.sort(rng.integers(0, 2**32, 5000, dtype=np.uint64)).tolist()):
+        short = np.array(values, np.uint32)
+        assert np.array_equal(_summed(_steps(short)), short)
+
+
 def test_odd_rows(spark):
     d = docs(spark, ODD)
     count = len(ODD)
