@@ -86,6 +86,21 @@ def test_ngram_join(spark, monkeypatch, room):
     assert got == B.op10(rows)
 
 
+def test_ngram_join_with_common_passages(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passages = [[word() for _ in range(60)] for _ in range(2)]
+    rows = []
+    for i in range(60):  # near one another by the passage alone where little else is in the text
+        rows.append((i, " ".join([*passages[i % 2], *(word() for _ in range(rng.choice([2, 6, 8, 9, 10, 15, 40])))])))
+    for i in range(60, 80):
+        body = rows[rng.randrange(60)][1].split(" ")
+        body[rng.randrange(len(body))] = word()
+        rows.append((i, " ".join(body)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard_join(docs(spark, rows)).collect()}
+    assert got == B.op10(rows)
+
+
 def test_packed_tokens_come_back():
     import numpy as np
 
