@@ -26,10 +26,10 @@ SIZE = 64
 _EDGE = 0
 _DISGUISED = re.compile(r"[^\W\d_]*(?:[0-9@$!+|(€][^\W\d_]+)+[0-9@$!+|(€]*|[0-9@$!+|(€]+[^\W\d_]{2,}|\w*([^\W\d_])\1\1\w*")
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\s])")
-_LETTER, _SIGN, _BETWEEN = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
-_LETTER[[*range(97, 123), *range(128, 256)]] = True
-_SIGN[list(b"0123456789@$!+|(")] = True
-_BETWEEN[list(b" .-_*\n\t\r\v\f")] = True
+_INNER = np.zeros((3, 256), bool)  # bytes of letters, of signs, of other characters than ASCII and Latin letters
+_INNER[0][[*range(97, 123), *range(128, 256)]] = True
+_INNER[1][list(b"0123456789@$!+|(")] = True
+_INNER[2][[0xC2, *range(0xCB, 256)]] = True
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURE_BITS = 24
 
@@ -86,6 +86,16 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _odd(b: np.ndarray) -> np.ndarray:
+    """Bytes by which every word that ``_DISGUISED`` may match is found, and some others; six bytes around do not count."""
+    letter, sign, other = (row[b] for row in _INNER)
+    n = len(b) - 6
+    same = b[:-2] == b[2:]
+    odd = sign[:n] & letter[1 : n + 1] | other[:n]
+    odd |= letter[:n] & (b[:n] == b[1 : n + 1]) & (b[:n] == b[2 : n + 2])
+    return odd | letter[:n] & same[:n] & same[1 : n + 1] & same[2 : n + 2] & same[3 : n + 3]
+
+
 class Restorer:
     def __init__(self, model: LetterModel):
         self.one = lru_cache(1 << 16)(lambda word: model.decode(lattice(word)))
@@ -93,17 +103,9 @@ class Restorer:
 
     def __call__(self, text: str) -> str:
         """Lower-cased text whose disguised words are decoded; words longer than 64 characters stay as they are."""
-        low = text.lower()
+        low = _SPACED.sub(lambda m: self._word(re.sub(r"[ .\-_*]", "", m[0])), text.lower())
         raw = low.encode("utf-8", "replace")
-        b = np.frombuffer(b" " + raw + b"   ", np.uint8)
-        alone = _LETTER[b[1:-1]] & _BETWEEN[b[:-2]] & _BETWEEN[b[2:]]
-        linked = alone[:-3] & (alone[2:-1] | alone[3:])
-        if np.count_nonzero(linked) > 1:
-            low = _SPACED.sub(lambda m: self._word(re.sub(r"[ .\-_*]", "", m[0])), low)
-            raw = low.encode("utf-8", "replace")
-            b = np.frombuffer(b" " + raw + b"   ", np.uint8)
-        odd = _SIGN[b[:-2]] & _LETTER[b[1:-1]] | _LETTER[b[:-2]] & (b[:-2] == b[1:-1]) & (b[1:-1] == b[2:])
-        at = np.flatnonzero(odd)
+        at = np.flatnonzero(_odd(np.frombuffer(b" " + raw + b"      ", np.uint8)))
         if not len(at):
             return low
         found = A.Words([raw])
