@@ -5,7 +5,7 @@ import pytest
 
 from vecsieve.llm.toxicity import SIZE, LetterModel, Restorer, _trigram_rows
 
-WORDS = "you are an idiot and a fool the loser of a damned house said merde to some other people in this river town " * 200
+WORDS = "you are an idiot and a fool the loser of a damned house said merde to some other people in this river town! " * 200
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +23,28 @@ def test_no_disguise_is_skipped_before_the_decoder(read):
     assert "0" not in read("i  d  1  0  t")
     assert read("m€rd€") == "merde"
     assert read("fooool mééééé éa") == read("fooool") + " " + read("mééééé") + " éa" and len(read("mééééé")) < 5
+
+
+@pytest.mark.parametrize("said, meant", [("id10t", "idiot"), ("f00l", "fool"), ("l0$3r", "loser"), ("idio7", "idiot"), ("id-iot", "idiot"), ("(id10t),", "(idiot),"), ("idiot!", "idiot!"), ("a f00l.", "a fool."), ("i_d_i_o_t", "idiot"), ("h0u5e", "house"), ("id\u00b7iot", "idiot"), ("m€rde", "merde")])
+def test_disguised_words_are_read_whole(read, said, meant):
+    assert read(said) == meant
+
+
+def test_no_word_of_letters_and_signs_is_skipped(read):
+    import random
+
+    rng = random.Random(8)
+    asked = []
+    read = Restorer(read.one.__wrapped__.__closure__[0].cell_contents)
+    read._word = lambda word: asked.append(word) or word
+    for _ in range(3000):
+        left, right = ("".join(rng.choice("abcé") for _ in range(rng.randint(1, 3))) for _ in range(2))
+        mark = "".join(rng.choice("0179@$!+|(€-_*.·×–/") for _ in range(rng.randint(1, 3)))
+        asked.clear(), read.whole.cache_clear()
+        read(f"the {left}{mark}{right} end")
+        assert len(asked) == 1 and f"{left}{mark}{right}" in asked, (left, mark, right)
+        mark = "".join(rng.choice("0179@$+|€") for _ in range(rng.randint(1, 3)))
+        for word in (left + mark, mark + right):
+            asked.clear(), read.whole.cache_clear()
+            read(f"the {word} end")
+            assert asked == [word], word

@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all texts. Words that may be disguised
-(digits or signs among letters, runs of a letter, letters set apart by spaces) become
+(with digits, signs or separators anywhere, runs of a letter, letters set apart by spaces) become
 lattices of what their characters may stand for; Viterbi decoding picks the likeliest
 reading. The restored text is scored by a logistic model of words and word beginnings,
 fitted on labelled rows.
@@ -24,20 +24,28 @@ from . import arrays as A
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e"}
 SIZE = 64
 _EDGE = 0
-_DISGUISED = re.compile(r"[^\W\d_]*(?:[0-9@$!+|(€][^\W\d_]+)+[0-9@$!+|(€]*|[0-9@$!+|(€]+[^\W\d_]{2,}|\w*([^\W\d_])\1\1\w*")
+_SIGNS = "@$!+|(€"
+_MARKS = re.compile(rf"^[^\w{_SIGNS}]+|[^\w{_SIGNS}]+$")  # around a word; what stands for no letter
+_DISGUISED = re.compile(r"(?=.*[^\W\d_])(?:.*[\W\d_]|.*([^\W\d_])\1\1)", re.S)
 _SPACED = re.compile(r"(?<![^\s])(?:[^\W_][ .\-_*]{1,2}){3,}[^\W_](?![^\s])")
-_INNER = np.zeros((3, 256), bool)  # bytes of letters, of signs, of other characters than ASCII and Latin letters
+_INNER = np.zeros((3, 256), bool)  # bytes of letters, of ASCII signs and digits, of other characters than ASCII and Latin letters
 _INNER[0][[*range(97, 123), *range(128, 256)]] = True
-_INNER[1][list(b"0123456789@$!+|(")] = True
+_INNER[1][[c for c in range(33, 127) if not 97 <= c <= 122]] = True
 _INNER[2][[0xC2, *range(0xCB, 256)]] = True
+_ENDING = np.zeros(256, bool)
+_ENDING[list(b"0123456789@$!+|(_")] = True
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURE_BITS = 24
 
 
 def letter(ch: str) -> int:
-    """Class of a character: a to z by themselves, others in folds."""
+    """Class of a character: a to z by themselves, digits, signs that are no punctuation, others in folds."""
     code = ord(ch)
-    return code - 96 if 97 <= code <= 122 else 27 + code % 30 if code > 127 else 57 + code % 7
+    if ch in "@$€":
+        return 58
+    if code > 127:
+        return 27 + code % 30
+    return code - 96 if 97 <= code <= 122 else 57 if 48 <= code <= 57 else 59 + code % 5
 
 
 class LetterModel:
@@ -50,9 +58,11 @@ class LetterModel:
         p2 = (two + 8 * p1) / (two.sum(1, keepdims=True) + 8)
         p3 = (t + 8 * p2[None]) / (t.sum(2, keepdims=True) + 8)
         self.logp = np.log(p3).astype(np.float32)
+        self.rows: list | None = None
 
     def decode(self, choices: list[list[tuple[str, float]]]) -> str:
         """Viterbi over a lattice of (string of 0 to 2 letters, log channel probability) per position."""
+        self.rows = logp = self.rows or self.logp.tolist()
         states: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
         for options in choices:
             after: dict[tuple[int, int], tuple[float, str]] = {}
@@ -60,25 +70,32 @@ class LetterModel:
                 for text, channel in options:
                     x, y, total = a, b, score + channel
                     for ch in text:
-                        c = letter(ch)
-                        total += float(self.logp[x, y, c])
-                        x, y = y, c
+                        c = _EDGE if ch == " " else letter(ch)
+                        if c != _EDGE or (x, y) != (_EDGE, _EDGE):
+                            total += logp[x][y][c]
+                        x, y = (y, c) if c != _EDGE else (_EDGE, _EDGE)
                     if (x, y) not in after or total > after[x, y][0]:
                         after[x, y] = (total, said + text)
             states = after
-        return max((s + float(self.logp[a, b, _EDGE]), said) for (a, b), (s, said) in states.items())[1]
+        return max((s + logp[a][b][_EDGE] * ((a, b) != (_EDGE, _EDGE)), said) for (a, b), (s, said) in states.items())[1]
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """Readings of each run of one character: itself, what it may stand for, nothing for separators, one or two for many."""
+    """Readings of each run of one character: itself, what it may stand for, nothing or a word's edge for separators, one or two for many.
+
+    Signs that often stand before or after words are rather themselves there.
+    """
     out = []
+    tail = len(word.rstrip("!|+"))
     for m in re.finditer(r"(.)\1*", word, re.S):
         ch, n = m[1], len(m[0])
         reads = STANDS_FOR.get(ch)
         if reads:
-            out += [[(r, math.log(0.6 / len(reads))) for r in reads] + [(ch, math.log(0.05))]] * n
+            plain = m.start() >= tail or m.start() == 0 and ch in "(|+@$"
+            say, keep = (0.02, 0.9) if plain else (0.6, 0.05)
+            out += [[(r, math.log(say / len(reads))) for r in reads] + [(ch, math.log(keep))]] * n
         elif not ch.isalnum():
-            out += [[("", math.log(0.9)), (ch, math.log(0.05))]] * n
+            out += [[("", math.log(0.6)), (" ", math.log(0.3)), (ch, math.log(0.05))]] * n
         elif n > 2:
             out.append([(ch, math.log(0.5)), (ch * 2, math.log(0.4))])
         else:
@@ -87,11 +104,13 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
 
 
 def _odd(b: np.ndarray) -> np.ndarray:
-    """Bytes by which every word that ``_DISGUISED`` may match is found, and some others; six bytes around do not count."""
+    """Bytes of words that may be disguised: of all that ``_DISGUISED`` matches, and of some others."""
     letter, sign, other = (row[b] for row in _INNER)
     n = len(b) - 6
     same = b[:-2] == b[2:]
-    odd = sign[:n] & letter[1 : n + 1] | other[:n]
+    odd = sign[:n] & (letter[1 : n + 1] | sign[1 : n + 1]) | other[:n]
+    odd[1:] |= letter[: n - 1] & _ENDING[b[1:n]]
+    odd |= (b[:n] == 0xC3) & ((b[1 : n + 1] == 0x97) | (b[1 : n + 1] == 0xB7))
     odd |= letter[:n] & (b[:n] == b[1 : n + 1]) & (b[:n] == b[2 : n + 2])
     return odd | letter[:n] & same[:n] & same[1 : n + 1] & same[2 : n + 2] & same[3 : n + 3]
 
@@ -99,7 +118,7 @@ def _odd(b: np.ndarray) -> np.ndarray:
 class Restorer:
     def __init__(self, model: LetterModel):
         self.one = lru_cache(1 << 16)(lambda word: model.decode(lattice(word)))
-        self.whole = lru_cache(1 << 16)(lambda word: _DISGUISED.sub(lambda m: self._word(m[0]), word))
+        self.whole = lru_cache(1 << 16)(lambda word: re.sub(r"\S+", lambda m: self._token(m[0]), word))
 
     def __call__(self, text: str) -> str:
         """Lower-cased text whose disguised words are decoded; words longer than 64 characters stay as they are."""
@@ -116,9 +135,15 @@ class Restorer:
             last = e
         return "".join([*parts, raw[last:].decode("utf-8", "replace")])
 
+    def _token(self, word: str) -> str:
+        core = _MARKS.sub("", word)
+        if not _DISGUISED.match(core):
+            return word
+        at = word.index(core)
+        return word[:at] + self._word(core) + word[at + len(core) :]
+
     def _word(self, word: str) -> str:
-        core = word.rstrip("!@$+|(")
-        return self.one(core) + word[len(core) :] if len(core) <= 64 and any(c.isalpha() for c in core) else word
+        return self.one(word) if len(word) <= 64 and any(c.isalpha() for c in word) else word
 
 
 def _class_table() -> np.ndarray:
@@ -139,6 +164,10 @@ def _trigram_rows(batches):
                     # a word's first letters see an edge only
                     prior = np.where(c[1:-1] == _EDGE, _EDGE, c[:-2])
                     keep = ~((c[1:-1] == _EDGE) & (c[2:] == _EDGE))
+                    # a disguise teaches no spelling: digits and signs beside letters do not count
+                    sign, plain = (c == 57) | (c == 58), (c > 0) & (c < 57)
+                    odd = sign[1:] & plain[:-1] | plain[1:] & sign[:-1]
+                    keep &= ~(odd[1:] | odd[:-1])
                     total += np.bincount(((prior * SIZE + c[1:-1]) * SIZE + c[2:])[keep], minlength=SIZE**3)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["code", "n"])
