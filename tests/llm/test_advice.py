@@ -48,3 +48,13 @@ def test_no_word_of_letters_and_signs_is_skipped(read):
             asked.clear(), read.whole.cache_clear()
             read(f"the {word} end")
             assert asked == [word], word
+
+
+def test_no_length_stops_the_decoder(read):
+    assert read("idi" + "o" * 300 + "t").replace("oo", "o") == "idiot"
+    assert read("1d10t-" * 40).split() == ["idiot"] * 39 + ["idiot-"] or read("1d10t-" * 40).count("idiot") == 40
+    said = "you are an idiot and a fool " * 20
+    assert read(" ".join(said.replace(" ", ""))).split() == said.split()
+    assert read("y o u i d i o t") == "you idiot"
+    assert read("y o u  a r e  a n  1 d 1 0 t") == "you are an idiot"
+    assert len(read("a1b" * 50000)) > 50000

@@ -36,6 +36,7 @@ _ENDING = np.zeros(256, bool)
 _ENDING[list(b"0123456789@$!+|(_")] = True
 PREFIXES = (4, 5, 6, 7, 8)
 FEATURE_BITS = 24
+CACHED = 64  # longer words are decoded each time
 
 
 def letter(ch: str) -> int:
@@ -63,9 +64,9 @@ class LetterModel:
     def decode(self, choices: list[list[tuple[str, float]]]) -> str:
         """Viterbi over a lattice of (string of 0 to 2 letters, log channel probability) per position."""
         self.rows = logp = self.rows or self.logp.tolist()
-        states: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(_EDGE, _EDGE): (0.0, ())}
         for options in choices:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, said) in states.items():
                 for text, channel in options:
                     x, y, total = a, b, score + channel
@@ -75,9 +76,14 @@ class LetterModel:
                             total += logp[x][y][c]
                         x, y = (y, c) if c != _EDGE else (_EDGE, _EDGE)
                     if (x, y) not in after or total > after[x, y][0]:
-                        after[x, y] = (total, said + text)
+                        after[x, y] = (total, (said, text))
             states = after
-        return max((s + logp[a][b][_EDGE] * ((a, b) != (_EDGE, _EDGE)), said) for (a, b), (s, said) in states.items())[1]
+        said = max(((s + logp[a][b][_EDGE] * ((a, b) != (_EDGE, _EDGE)), said) for (a, b), (s, said) in states.items()), key=lambda x: x[0])[1]
+        parts = []
+        while said:
+            said, text = said
+            parts.append(text)
+        return "".join(reversed(parts))
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
@@ -103,6 +109,23 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def spaced(text: str) -> list[list[tuple[str, float]]]:
+    """Readings of letters set apart: a gap may be a word's edge, and rather is where others are narrower."""
+    letters, gaps = re.findall(r"[^ .\-_*]", text), re.findall(r"[ .\-_*]+", text)
+    least = min(map(len, gaps))
+    out, start = [], 0
+    for i in range(1, len(letters) + 1):
+        wide = i < len(letters) and len(gaps[i - 1]) > least
+        if i < len(letters) and letters[i] == letters[start] and not wide:
+            continue
+        out += lattice(letters[start] * (i - start))
+        if i < len(letters):
+            edge = 0.9 if wide else 0.2
+            out.append([("", math.log(1 - edge)), (" ", math.log(edge))])
+        start = i
+    return out
+
+
 def _odd(b: np.ndarray) -> np.ndarray:
     """Bytes of words that may be disguised: of all that ``_DISGUISED`` matches, and of some others."""
     letter, sign, other = (row[b] for row in _INNER)
@@ -117,12 +140,13 @@ def _odd(b: np.ndarray) -> np.ndarray:
 
 class Restorer:
     def __init__(self, model: LetterModel):
+        self.model = model
         self.one = lru_cache(1 << 16)(lambda word: model.decode(lattice(word)))
         self.whole = lru_cache(1 << 16)(lambda word: re.sub(r"\S+", lambda m: self._token(m[0]), word))
 
     def __call__(self, text: str) -> str:
-        """Lower-cased text whose disguised words are decoded; words longer than 64 characters stay as they are."""
-        low = _SPACED.sub(lambda m: self._word(re.sub(r"[ .\-_*]", "", m[0])), text.lower())
+        """Lower-cased text whose disguised words, of any length, are decoded."""
+        low = _SPACED.sub(lambda m: self._apart(m[0]), text.lower())
         raw = low.encode("utf-8", "replace")
         at = np.flatnonzero(_odd(np.frombuffer(b" " + raw + b"      ", np.uint8)))
         if not len(at):
@@ -131,7 +155,8 @@ class Restorer:
         hit = np.unique(np.searchsorted(found.start, at, side="right") - 1)
         parts, last = [], 0
         for s, e in zip((found.start[hit] - 1).tolist(), (found.end[hit] - 1).tolist()):
-            parts += [raw[last:s].decode("utf-8", "replace"), self.whole(raw[s:e].decode("utf-8", "replace"))]
+            whole = self.whole if e - s <= CACHED else self.whole.__wrapped__
+            parts += [raw[last:s].decode("utf-8", "replace"), whole(raw[s:e].decode("utf-8", "replace"))]
             last = e
         return "".join([*parts, raw[last:].decode("utf-8", "replace")])
 
@@ -143,7 +168,10 @@ class Restorer:
         return word[:at] + self._word(core) + word[at + len(core) :]
 
     def _word(self, word: str) -> str:
-        return self.one(word) if len(word) <= 64 and any(c.isalpha() for c in word) else word
+        return self.one(word) if len(word) <= CACHED else self.one.__wrapped__(word)
+
+    def _apart(self, text: str) -> str:
+        return self.model.decode(spaced(text)) if any(c.isalpha() for c in text) else text
 
 
 def _class_table() -> np.ndarray:
