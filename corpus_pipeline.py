@@ -21,32 +21,40 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 CHUNK = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``, unique and ordered as ids are: the ids, or, if one repeats or is null, numbers written once."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    order = [F.col(c).asc_nulls_first() for c in COLUMNS]
+    return Cuts(spark).cut(docs.select(*COLUMNS).orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = toxicity(docs, labels).filter("predicted = 0").select("doc_id")
-    kept = docs.join(scores.distinct(), docs["doc_id"].eqNullSafe(scores["doc_id"]), "left_semi")
-    return kept.select(*COLUMNS)
+    return toxicity(docs, labels, carry=COLUMNS[1:]).filter("predicted = 0").select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
-    groups = ngram_jaccard_join(docs)
-    first = groups.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").select(*COLUMNS)
+    rows = numbered(spark, docs)
+    groups = ngram_jaccard_join(rows, id_col="_row")
+    first = groups.filter("_row = component_id").select("_row")
+    return rows.join(first, "_row", "left_semi").select(*COLUMNS)
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts masked."""
-    clean = scan_secrets(docs).filter("n_secrets > 0").select(F.col("doc_id").alias("_id"), "redacted").dropDuplicates(["_id"])
-    out = docs.join(clean, docs["doc_id"].eqNullSafe(clean["_id"]), "left").withColumn("text", F.coalesce("redacted", "text"))
+    out = scan_secrets(docs, carry=["lang", "source", "n_chars"]).withColumnRenamed("redacted", "text")
     return out.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; the last time, its first words only if it takes no more."""
-    plan = mix_sources(docs).select(F.col("doc_id").alias("_id"), "size", "taken").filter("taken > 0").dropDuplicates(["_id"])
-    out = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
+    rows = numbered(spark, docs)
+    plan = mix_sources(rows, id_col="_row").select("_row", "size", "taken").filter("taken > 0")
+    out = rows.join(plan, "_row")
     times = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("taken") / F.col("size")))
     out = out.withColumn("_time", F.explode(times)).withColumn("_words", F.col("taken") - (F.col("_time") - 1) * F.col("size"))
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(CHUNK), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")

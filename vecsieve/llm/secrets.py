@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -156,8 +157,8 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
 OUT = "id long, n_candidates long, n_secrets long, findings array<struct<start:long,end:long,score:double>>, redacted string"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest | None = None, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
-    """``(id, n_candidates, n_secrets, findings, redacted)`` per input row.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest | None = None, threshold: float = 0.5, mask: str = "[SECRET]", carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, n_candidates, n_secrets, findings, redacted)`` per input row, and its columns ``carry``.
 
     ``findings`` has byte spans and scores of the secrets, ``redacted`` the text with each
     replaced by ``mask``. A null text has no candidates and stays null; repeated rows and null ids are scanned
@@ -186,7 +187,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     column.append(v)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
             types = (pa.int64(), pa.int64(), pa.int64(), kind, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["id", "n_candidates", "n_secrets", "findings", "redacted"])
+            names = ["id", "n_candidates", "n_secrets", "findings", "redacted", *carry]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(out, types)), *(batch[c] for c in carry)], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, OUT).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
+    kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    return rows.mapInArrow(run, ", ".join([OUT, *kinds])).withColumnRenamed("id", id_col)

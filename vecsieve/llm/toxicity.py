@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -305,8 +306,8 @@ def held_out(id_col: str):
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) == 2
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most_labels: int = 6000, seed: int = 5) -> DataFrame:
-    """``(id, held_out, score, predicted)`` per input row.
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, most_labels: int = 6000, seed: int = 5, carry: Sequence[str] = ()) -> DataFrame:
+    """``(id, held_out, score, predicted)`` per input row, and its columns ``carry``.
 
     The letter model counts all texts. The scorer is fitted on at most ``most_labels``
     labelled rows, least by a seeded hash, whose id is not held out; only restored text is
@@ -344,8 +345,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             ids = batch["id"].to_pylist()
             for part in A.chunks(list(zip(range(len(texts)), texts))):
                 columns = [pa.array([ids[i] for i, _ in part], pa.int64()), pa.array(scorer([t for _, t in part]))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "score"])
+                columns += [batch[f"carry_{c}"].slice(part[0][0], len(part)) for c in carry]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "score", *(f"carry_{c}" for c in carry)])
 
-    out = rows.mapInArrow(run, "id long, score double")
+    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    kinds = [f"carry_{c} {docs.schema[c].dataType.simpleString()}" for c in carry]
+    out = given.mapInArrow(run, ", ".join(["id long", "score double", *kinds]))
     kept = F.coalesce(held_out("id"), F.lit(False))
-    return out.select(F.col("id").alias(id_col), kept.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select(F.col("id").alias(id_col), kept.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"carry_{c}").alias(c) for c in carry))
