@@ -114,8 +114,10 @@ def fisher_encode(raw: DataFrame, alpha: float = 0.5) -> DataFrame:
     return unit(raw.withColumn("value", power("value", alpha)), ["image_id"], "value")
 
 
-def text_words(docs: DataFrame, most: int) -> DataFrame:
-    """Lower-cased words of documents, limited to the ``most`` frequent: ``(image_id, word)``."""
+def text_words(docs: DataFrame, most: int | None = None) -> DataFrame:
+    """Lower-cased words of documents, all or those among the ``most`` frequent: ``(image_id, word)``."""
     words = docs.select(F.col("doc_id").alias("image_id"), F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).filter("word != ''")
+    if most is None:
+        return words
     top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(most).select("word")
     return words.join(top, "word")

@@ -242,13 +242,14 @@ query("text_tfidf", """w AS (SELECT doc_id AS image_id, unnest(regexp_split_to_a
 top AS (SELECT word FROM t GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 500), tf AS (SELECT image_id, word, count(*) AS tf FROM t JOIN top USING (word) GROUP BY ALL),
 idf AS (SELECT word, ln((SELECT count(*) FROM documents)::DOUBLE / count(*)) AS idf FROM tf GROUP BY 1), x AS (SELECT image_id, word, tf * idf AS w FROM tf JOIN idf USING (word)),
 n AS (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY image_id)) AS n FROM x) SELECT image_id, word, round(CASE WHEN n = 0 THEN 0 ELSE w / n END, 6) AS w FROM n""")(
-    lambda v: _six(_text(v), "w")
+    lambda v: _six(_text(v, 500), "w")
 )
+query("text_tfidf_all")(lambda v: _six(_text(v), "w"))
 
 
-def _text(v: Views) -> DataFrame:
+def _text(v: Views, most: int | None = None) -> DataFrame:
     docs = v.table("documents")
-    words = E.text_words(docs, 500)
+    words = E.text_words(docs, most)
     tf = E.term_frequencies(words)
     return E.tfidf(tf, E.inverse_document_frequency(tf, docs, words.select("word").distinct()))
 
