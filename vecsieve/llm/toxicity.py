@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import arrays as A
+from .store import Cuts
 
 # Letters that a sign or digit may stand for.
 STANDS_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "+": "t", "|": "il", "(": "c", "€": "e"}
@@ -203,12 +204,11 @@ def _trigram_rows(batches):
 
 
 def letter_model(docs: DataFrame, text_col: str = "text") -> LetterModel:
-    """Trigram counts of all texts; at most 64 cubed rows reach the driver."""
+    """Trigram counts of all texts; at most 64 cubed rows reach the driver, as Arrow columns."""
     rows = docs.select(F.col(text_col).alias("text")).mapInArrow(_trigram_rows, "code int, n long")
-    found = rows.groupBy("code").agg(F.sum("n").alias("n")).collect()
+    found = rows.groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(SIZE**3, np.int64)
-    for r in found:
-        counts[r["code"]] = r["n"]
+    counts[found["code"].to_numpy()] = found["n"].to_numpy()
     return LetterModel(counts.reshape(SIZE, SIZE, SIZE))
 
 
@@ -268,38 +268,85 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(total, -30, 30)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray, keep: int = 3000, steps: int = 400) -> Scorer:
-    """Features by chi-square among those of three toxic rows or more, then ridge logistic regression."""
+def fit(sizes: np.ndarray, f: np.ndarray, n: np.ndarray, words: np.ndarray, labels: np.ndarray, keep: int = 3000, steps: int = 400) -> Scorer:
+    """Features by chi-square among those of three toxic rows or more, then ridge logistic regression.
+
+    Row i has the next ``sizes[i]`` of the features ``f`` with counts ``n``, and ``words[i]`` words.
+    """
     prior = float(np.clip(labels.mean() if len(labels) else 0.0, 1e-3, 1 - 1e-3))
     blank = Scorer(np.zeros(0, np.int64), np.zeros(0), math.log(prior / (1 - prior)))
-    if not len(rows) or labels.min() == labels.max():
+    if not len(labels) or labels.min() == labels.max():
+        return blank
+    toxic = np.repeat(labels > 0, sizes)
+    names, hit = np.unique(f[toxic], return_counts=True)
+    names, hit = names[hit >= 3], hit[hit >= 3]
+    if not len(names):
         return blank
-    d = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    names, f = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
-    n = np.concatenate([r[1] for r in rows]).astype(np.float64)
-    hit = np.bincount(f, labels[d], minlength=len(names))
-    seen = np.bincount(f, minlength=len(names)).astype(np.float64)
-    expected = seen * prior
-    chi = np.where((hit >= 3) & (hit > expected), (hit - expected) ** 2 / (expected * (1 - prior)), 0.0)
+    at = np.minimum(np.searchsorted(names, f), len(names) - 1)
+    ok = names[at] == f
+    d, at, n = np.repeat(np.arange(len(sizes)), sizes)[ok], at[ok], n[ok]
+    expected = np.bincount(at, minlength=len(names)) * prior
+    chi = np.where(hit > expected, (hit - expected) ** 2 / (expected * (1 - prior)), 0.0)
     best = np.sort(np.argsort(-chi, kind="stable")[: min(keep, int((chi > 6).sum()))])
     if not len(best):
         return blank
     place = np.full(len(names), -1)
     place[best] = np.arange(len(best))
-    ok = place[f] >= 0
-    d, f = d[ok], place[f[ok]]
-    v = Scorer.density(n[ok], np.array([r[2] for r in rows], np.float64)[d])
+    ok = place[at] >= 0
+    d, at = d[ok], place[at[ok]]
+    v = Scorer.density(n[ok], words[d])
     weights, bias = np.zeros(len(best)), blank.bias
     grad2, bias2 = np.full(len(best), 1e-8), 1e-8
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(d, weights[f] * v, minlength=len(rows)), -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(d, weights[at] * v, minlength=len(sizes)), -30, 30)))
         miss = p - labels
-        grad = np.bincount(f, miss[d] * v, minlength=len(best)) + 0.3 * weights
+        grad = np.bincount(at, miss[d] * v, minlength=len(best)) + 0.3 * weights
         grad2 += grad**2
         bias2 += miss.sum() ** 2
         weights -= 0.3 * grad / np.sqrt(grad2)
         bias -= 0.3 * miss.sum() / math.sqrt(bias2)
-    return Scorer(names[best], weights, bias)
+    return Scorer(names[best].astype(np.int64), weights, bias)
+
+
+LESSON = "place long, id long, toxic int, f binary, n binary, words long"
+
+
+def _lessons(model: LetterModel):
+    """Features of labelled rows."""
+
+    def run(batches):
+        read = Restorer(model)
+        for batch in batches:
+            for place, id_, toxic, text in zip(*(batch[k].to_pylist() for k in ("place", "id", "toxic", "text"))):
+                _, f, n, words = features([read(text or "")])
+                row = (place, id_, toxic, f.astype(np.int32).tobytes(), n.astype(np.uint32).tobytes(), int(words[0]))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], [x.split()[0] for x in LESSON.split(", ")])
+
+    return run
+
+
+def _fitted(batches):
+    """One task's rows, the bounded sample, as a model: the bias under the feature -1, then the weights."""
+    rows = sorted(r for batch in batches for r in zip(*(batch[k].to_pylist() for k in ("place", "id", "toxic", "f", "n", "words"))))
+    f, n = (np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in ((3, np.int32), (4, np.uint32)))
+    sizes = np.array([len(r[3]) // 4 for r in rows], np.int64)
+    scorer = fit(sizes, f, n, np.array([r[5] for r in rows], float), np.array([float(r[2] == 1) for r in rows]))
+    names, weights = np.concatenate([[-1], scorer.names]), np.concatenate([[scorer.bias], scorer.weights])
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(weights, pa.float64())], ["name", "weight"])
+
+
+def learn(cuts: Cuts, rows: DataFrame, known: DataFrame, model: LetterModel, most: int, seed: int) -> Scorer:
+    """The scorer of at most ``most`` distinct pairings of a text and a label, least by a seeded hash.
+
+    Texts are decoded where they are; the bounded sample is fitted in one task, and only the model comes to the driver.
+    """
+    place = F.xxhash64(F.lit(seed), "id").alias("place")
+    lessons = rows.join(F.broadcast(known), "id").select(place, "id", "toxic", "text").mapInArrow(_lessons(model), LESSON)
+    told = cuts.cut(cuts.cut(lessons).distinct().orderBy("place", "id", "toxic", "f", "n").limit(most))
+    got = told.coalesce(1).mapInArrow(_fitted, "name long, weight double").toArrow()
+    names, weights = got["name"].to_numpy(), got["weight"].to_numpy()
+    return Scorer(names[1:], weights[1:], float(weights[0])) if len(names) else Scorer(np.zeros(0, np.int64), np.zeros(0), math.log(1e-3 / (1 - 1e-3)))
 
 
 def held_out(id_col: str):
@@ -310,33 +357,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """``(id, held_out, score, predicted)`` per input row, and its columns ``carry``.
 
     The letter model counts all texts. The scorer is fitted on at most ``most_labels``
-    labelled rows, least by a seeded hash, whose id is not held out; only restored text is
-    an input. Null and empty texts get the model's score of no words. Null labels and ids
-    teach nothing; where an id repeats in either table, each pairing teaches; null ids are
+    labels, least by a seeded hash, whose id is not held out, and on as many pairings of
+    these with a text; only restored text is an input. Texts of any length are decoded and
+    scored whole. Null and empty texts get the model's score of no words. Null labels and ids
+    teach nothing; where an id repeats in either table, each different pairing teaches once; null ids are
     not held out; without labels of both kinds scores are the labels' share; an empty table gives an empty result;
     other columns are not read.
     """
+    cuts = Cuts(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     restore = Restorer
     model = letter_model(rows)
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    known = known.filter("id is not null and toxic is not null").filter(~held_out("id"))
+    known = known.filter("id is not null and toxic is not null").filter(~held_out("id")).distinct()
     known = known.orderBy(F.xxhash64(F.lit(seed), "id"), "id", "toxic").limit(most_labels)
-
-    def taught(batches):
-        read = restore(model)
-        for batch in batches:
-            for toxic, text in zip(batch["toxic"].to_pylist(), batch["text"].to_pylist()):
-                _, f, n, words = features([read(text or "")])
-                columns = [[toxic], [f.astype(np.int32).tobytes()], [np.minimum(n, 65535).astype(np.uint16).tobytes()], [int(words[0])]]
-                types = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["toxic", "f", "n", "words"])
-
-    lessons = rows.join(F.broadcast(known), "id").select("toxic", "text")
-    got = lessons.mapInArrow(taught, "toxic int, f binary, n binary, words long").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["f"], r["n"], r["toxic"]))
-    data = [(np.frombuffer(r["f"], np.int32).astype(np.int64), np.frombuffer(r["n"], np.uint16), r["words"]) for r in got]
-    scorer = fit(data, np.array([float(r["toxic"] == 1) for r in got]))
+    scorer = learn(cuts, rows, known, model, most_labels, seed)
 
     def run(batches):
         read = restore(model)
