@@ -8,11 +8,14 @@
    a document's prefix, look for partners. Passages that many documents quote fall out.
    Documents are partitioned into groups of similar ones: most of a member's votes, tokens
    of its prefix, have the group's leader as first holder.
-4. The matrix of tokens and groups says which other groups a document's prefix meets. It
-   visits those; there its overlap with the union of the group's tokens bounds every
-   overlap with a member, and only qualifying groups are opened.
-5. Large groups are split into rooms which share the group's first members. Documents
-   that these do not connect visit every room.
+4. The matrix of tokens and groups holds the union of each group's prefixes. A document's
+   overlap with a group is at most its tokens after the prefix and those of the prefix that
+   the union has: without one of these the bound is below the need, and no token set moves.
+   A document visits the groups that qualify. There the bound on the whole union decides
+   which are opened.
+5. Large groups are split into rooms which share the group's first members, and many
+   visitors into slices. Documents that the first members do not connect visit the rooms
+   whose union meets their prefix, by the same bound.
 
 Members already known to be connected are not compared again, so a group of thousands
 of near copies costs a few passes, not all pairs.
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import arrays as A
@@ -33,6 +36,7 @@ from .store import Cuts, keyed
 ROOM = 400
 LEADERS = 16
 VOTES = 8
+MOST_BLOCKS = 32000  # of a chunk, whose texts are in one task
 HELD = "uid long, n long, tokens binary, prefix binary, votes array<long>"
 
 
@@ -185,8 +189,8 @@ def _find(parent: dict, x: int) -> int:
     return x
 
 
-def open_room(uids: list[int], roles: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between members (role 0) and of visitors with members."""
+def open_room(uids: list[int], roles: list[int], sets: list[np.ndarray], percent: int, among: bool = True) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between members (role 0), if ``among``, and of visitors with members."""
     inside = [i for i, r in enumerate(roles) if r == 0]
     if not inside:
         return []
@@ -208,7 +212,7 @@ def open_room(uids: list[int], roles: list[int], sets: list[np.ndarray], percent
     for i, r in enumerate(roles):
         if r:
             test(i)
-    todo = set(inside)
+    todo = set(inside if among else ())
     while todo:
         roots = [_find(parent, uids[i]) for i in inside]
         names, n = np.unique(roots, return_counts=True)
@@ -227,24 +231,33 @@ def open_room(uids: list[int], roles: list[int], sets: list[np.ndarray], percent
 
 def _rooms(percent: int):
     def run(table: pa.Table) -> pa.Table:
-        group = table.select(["grp", "sub", "role", "uid"]).to_pandas()
+        group = table.select(["grp", "sub", "slice", "role", "uid"]).to_pandas()
         sets = [np.frombuffer(x, np.uint64) for x in table["tokens"].to_pylist()]
         out: list[tuple[int, int]] = []
-        for _, part in group.groupby(["grp", "sub"], sort=True):
+        for (*_, cut), part in group.groupby(["grp", "sub", "slice"], sort=True):
             # the same document may come as a member and as a visitor
             seen = part.sort_values(["role", "uid"]).drop_duplicates("uid")
             at = seen.index.tolist()
             if len(at) > 1:
-                out += open_room(seen["uid"].tolist(), seen["role"].tolist(), [sets[i] for i in at], percent)
+                out += open_room(seen["uid"].tolist(), seen["role"].tolist(), [sets[i] for i in at], percent, cut == 0)
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _open(seats: DataFrame, held: DataFrame, percent: int, rooms: int) -> DataFrame:
+def _open(cuts: Cuts, seats: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Edges found in the rooms of ``(uid, grp, sub, role)``; a room's visitors come in slices, its members to each."""
+    seats = cuts.cut(seats.distinct())
+    many = seats.filter("role = 2").groupBy("grp", "sub").agg(F.ceil(F.count(F.lit(1)) / (2 * ROOM)).cast("long").alias("slices"))
+    many = cuts.cut(many.filter("slices > 1"))
     # both sides grow with the corpus: neither is broadcast at any size
-    full = seats.hint("merge").join(held.select("uid", "tokens"), "uid").withColumn("room", F.pmod(F.xxhash64("grp", "sub"), F.lit(rooms)))
+    cut = seats.hint("merge").join(many, ["grp", "sub"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    one = F.array(F.pmod(F.xxhash64("uid"), F.col("slices")))
+    slices = F.when(F.col("role") == 2, one).otherwise(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    cut = cuts.cut(cut.withColumn("slice", F.explode(slices)).drop("slices"))
+    rooms = 1 + cut.count() // (2 * ROOM)
+    full = cut.hint("merge").join(held.select("uid", "tokens"), "uid").withColumn("room", F.pmod(F.xxhash64("grp", "sub", "slice"), F.lit(rooms)))
     return full.groupBy("room").applyInArrow(_rooms(percent), "a long, b long")
 
 
@@ -264,7 +277,7 @@ def _groups(cuts: Cuts, held: DataFrame) -> DataFrame:
 
 
 def _visits(cuts: Cuts, held: DataFrame, groups: DataFrame, percent: int) -> DataFrame | None:
-    """``(uid, grp)``: groups after its own which a document's prefix meets."""
+    """``(uid, grp)``: groups after its own whose union meets a document's prefix, sizes permitting; None if no token is shared."""
     tokens = held.select("uid", "prefix").join(groups.select("uid", "n", "grp"), "uid").mapInArrow(_matrix_rows, "tok long, uid long, n long, grp long")
     spread = tokens.groupBy("tok").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).filter("g0 != g1").select("tok")
     spread = cuts.cut(spread)
@@ -277,42 +290,51 @@ def _visits(cuts: Cuts, held: DataFrame, groups: DataFrame, percent: int) -> Dat
     return near.select("uid", F.col("other").alias("grp")).distinct()
 
 
+def _back(cuts: Cuts, held: DataFrame, named: DataFrame, rest: DataFrame, percent: int) -> DataFrame:
+    """``(uid, grp, sub)``: other rooms of its group whose union meets the prefix of a document of ``rest``."""
+    crowd = named.join(rest.select("grp").distinct(), "grp", "left_semi").select("uid", "n", "grp", "sub", F.xxhash64("grp", "sub").alias("cell"))
+    tokens = held.select("uid", "prefix").join(crowd.select("uid", "n", F.col("cell").alias("grp")), "uid").mapInArrow(_matrix_rows, "tok long, uid long, n long, grp long")
+    tokens = cuts.cut(tokens)
+    cells = crowd.groupBy("cell").agg(F.first("grp").alias("grp"), F.first("sub").alias("sub"))
+    matrix = tokens.groupBy("tok", F.col("grp").alias("cell")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    asked = tokens.join(rest.select("uid", F.col("grp").alias("whole")), "uid").select("tok", "uid", "n", "whole", F.col("grp").alias("own"))
+    near = cuts.cut(asked).hint("merge").join(matrix, "tok").filter("cell != own")
+    near = near.filter((F.col("lo") * percent <= F.col("n") * 100) & (F.col("hi") * 100 >= F.col("n") * percent))
+    return near.select("uid", "whole", "cell").distinct().join(cells, "cell").filter("grp = whole").select("uid", "grp", "sub")
+
+
 def _links(cuts: Cuts, held: DataFrame, percent: int) -> DataFrame:
     groups = _groups(cuts, held)
-    rooms = groups.filter("subs > 1").groupBy("grp").agg(F.first("subs").alias("subs"))
+    large = cuts.cut(groups.filter("subs > 1").groupBy("grp").agg(F.first("subs").alias("subs")))
     own = groups.select("uid", "grp", "sub", F.lit(0).alias("role"))
     seats = own
-    large = cuts.cut(rooms)
     crowded = not large.isEmpty()
     every = lambda df: df.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
     if crowded:
-        first = groups.filter("subs > 1").select("grp", F.floor(F.col("sub") / 1).alias("sub"), "uid")
         # the least members of each room, then of the group: no room is gathered whole
-        per_room = first.groupBy("grp", "sub").agg(F.min("uid").alias("uid"))
-        ranked = per_room.groupBy("grp").agg(F.slice(F.sort_array(F.collect_list("uid")), 1, LEADERS).alias("uids"))
-        leaders = ranked.join(large, "grp").withColumn("uid", F.explode("uids"))
+        per_room = groups.filter("subs > 1").groupBy("grp", "sub").agg(F.min("uid").alias("uid"))
+        order = Window.partitionBy("grp").orderBy("uid")
+        first = per_room.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= LEADERS)
+        leaders = first.select("grp", "uid").join(large, "grp")
         seats = seats.unionByName(every(leaders).select("uid", "grp", "sub", F.lit(1).alias("role")))
     visits = _visits(cuts, held, groups, percent)
     if visits is not None:
         size = groups.groupBy("grp").agg(F.first("subs").alias("subs"))
         seats = seats.unionByName(every(visits.join(size, "grp")).select("uid", "grp", "sub", F.lit(2).alias("role")))
-    seats = cuts.cut(seats)
-    count = 1 + seats.count() // (2 * ROOM)
-    edges = cuts.cut(_open(seats, held, percent, count))
+    edges = cuts.cut(_open(cuts, seats, held, percent))
     if not crowded:
         return edges
     roots = components(cuts, edges)
-    named = groups.filter("subs > 1").join(roots, "uid", "left").select("uid", "grp", "sub", "subs", F.coalesce("root", "uid").alias("root"))
+    named = groups.filter("subs > 1").join(roots, "uid", "left").select("uid", "n", "grp", "sub", F.coalesce("root", "uid").alias("root"))
     named = cuts.cut(named)
     counts = named.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("grp").agg(F.max(F.struct("c", "root")).alias("m")).select("grp", F.col("m.root").alias("main"))
-    rest = named.join(cuts.cut(main), "grp").filter("root != main").select("uid", "grp", F.col("sub").alias("own"), "subs")
-    rest = cuts.cut(rest)
+    rest = cuts.cut(named.join(cuts.cut(main), "grp").filter("root != main").select("uid", "grp"))
     if rest.isEmpty():
         return edges
-    back = every(rest).filter("sub != own").select("uid", "grp", "sub", F.lit(2).alias("role"))
-    again = own.join(rest.select("grp").distinct(), "grp", "left_semi").unionByName(back)
-    return edges.unionByName(_open(again, held, percent, count))
+    back = cuts.cut(_back(cuts, held, named, rest, percent)).withColumn("role", F.lit(2))
+    hosts = own.join(back.select("grp", "sub").distinct(), ["grp", "sub"], "left_semi")
+    return edges.unionByName(_open(cuts, hosts.unionByName(back), held, percent))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
@@ -322,8 +344,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shingles of ``size`` words, A-Z lower-cased; a text of fewer words is one shingle. A
     component's id is its smallest document id. Texts without words, null ones included, have
     n_shingles 0 and are alone. Copies of a text link; rows that repeat an id, or have none, are documents
-    of their own (ids then come back as they are); an empty table gives an empty result; other columns are not
-    read. Shingles are compared by 64-bit fingerprints, copies of texts by 128 bits.
+    of their own (ids then come back as they are); a text of any length is read whole; an empty
+    table gives an empty result; other columns are not read. Shingles are compared by 64-bit fingerprints, copies of texts by 128 bits.
     """
     cuts = Cuts(docs.sparkSession)
     rows = keyed(cuts, docs, id_col, text_col)
@@ -331,7 +353,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = cuts.cut(marks.groupBy("x1", "x2").agg(F.min("uid").alias("rep")))
     copies = cuts.cut(marks.join(reps, ["x1", "x2"]).select("uid", "rep"))
     count = copies.count()
-    per_chunk = min(4000, max(300, count // 500))
+    per_chunk = min(MOST_BLOCKS, max(300, count // 500))
     chunks = 1 + count // per_chunk
     buckets = max(8, min(per_chunk, count // 1000))
     chunk = F.pmod(F.xxhash64("uid"), F.lit(chunks)).alias("chunk")
