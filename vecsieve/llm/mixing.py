@@ -3,8 +3,8 @@
 Targets fill up by weight, limited by what each source can give. Equal blocks of words
 are seats: the sources get theirs by highest quotients, then each source's seats go down
 a tree of shards, ``fan`` at a time, by the same rule on the words that each shard holds.
-In a leaf the documents stand in seeded order; whole passes are taken first and the
-remaining blocks from the front.
+In a leaf the documents stand in seeded order, and their words in blocks; the leaf's quota
+takes every block as often as it goes, and what remains in seeded order from the first on.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import WORD
+from .store import WORD, Cuts
 
 
 def word_count(text: Column) -> Column:
@@ -67,15 +67,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One row per input row: id, source, ``size``, ``source_size``, ``target`` (of its source),
     ``taken``. Sources in order of code points, null last, weigh 1, 2, 3 and so on again; no
     source's target exceeds ``most`` times its size, nor a document's ``taken`` that of its
-    own. A null text has size 0; documents without words get 0; rows that repeat an id share
-    a shard and are told apart by size only; a null id is an id; an empty table gives an
-    empty result; other columns are not read. Reruns agree: order comes from a seeded hash.
-    The table of sources is gathered in one task, that of documents never.
+    own. A null text has size 0; documents without words get 0; texts of any length are counted
+    whole; rows that repeat an id are told apart by their texts, and share a shard if these are
+    equal too; a null id is an id; an empty table gives an empty result; other columns are not
+    read. Reruns agree: order comes from a seeded hash. Words are counted once. The table of
+    sources is gathered in one task, that of documents never.
     """
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    count = docs.count()
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark"))
+    base = Cuts(docs.sparkSession).cut(base)
+    count = base.count()
     depth = max(0, math.ceil(math.log(max(1, count / leaf_docs), fan)))
-    dealt = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(fan**depth))
+    dealt = F.pmod(F.xxhash64(F.lit(seed), "id", "mark"), F.lit(fan**depth))
     base = base.withColumn("leaf", dealt)
     held = base.groupBy("source", "leaf").agg(F.sum("size").alias("words"))
     targets = source_targets(base, weights, most)
@@ -90,12 +92,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         below = parts.withColumn("_up", F.floor(F.col("part") / fan)).join(up, known & (F.col("_up") == F.col("shard"))).drop("_source", "_up")
         level = apportion(below, ["source", "shard"], "part", "words", "_seats", "quota").select("source", F.col("part").alias("shard"), "quota")
     leaf = held.join(level.select(F.col("source").alias("_source"), F.col("shard").alias("leaf_"), "quota"), known & (F.col("leaf") == F.col("leaf_"))).drop("_source", "leaf_")
-    due = F.least(F.col("quota") * block_words, F.col("words") * most)
     goal = targets.select(F.col("source").alias("_source"), "source_size", "target")
-    leaf = leaf.withColumn("due", due).join(goal, known).drop("_source", "quota")
+    most_words = F.col("words") * most
+    # a source at its limit is taken whole: its seats, rounded in each shard, would miss it
+    due = F.when(F.col("target") >= most * F.col("source_size"), most_words).otherwise(F.least(F.col("quota") * block_words, most_words))
+    leaf = leaf.join(goal, known).withColumn("due", due).drop("_source", "quota")
     leaf = leaf.withColumnRenamed("source", "_source").withColumnRenamed("leaf", "leaf_")
     out = base.join(leaf, known & (F.col("leaf") == F.col("leaf_"))).drop("_source", "leaf_")
-    order = Window.partitionBy("source", "leaf").orderBy(F.xxhash64(F.lit(seed + 1), "id"), "id", "size")
+    order = Window.partitionBy("source", "leaf").orderBy(F.md5(F.concat_ws("-", F.lit(seed), "id")), "id", "size", "mark")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     passes = F.when(F.col("words") > 0, F.floor(F.col("due") / F.col("words"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("due") - passes * F.col("words")
