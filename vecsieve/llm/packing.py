@@ -57,7 +57,7 @@ class Bins:
 
 def _pack(capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table[k].to_pylist() for k in ("row", "n_words", "source_key", "cluster", "shard"))), key=lambda r: (r[1] % capacity, r[0]), reverse=True)
+        rows = sorted(zip(*(table[k].to_pylist() for k in ("row", "n_words", "source_key", "cluster", "shard"))), key=lambda r: (-(r[1] % capacity), r[0] is None, -(r[0] or 0)))
         named: tuple[dict, dict] = ({}, {})
         bit = lambda kind, v: 0 if v is None else 1 << named[kind].setdefault(v, len(named[kind]))
         seen: dict = {}
@@ -85,7 +85,9 @@ def best_fit_pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``(id, piece, n_words, shard, bin, start)``: a document longer than a bin fills whole
     bins first; its rest shares a bin with rests of other sources and other duplicate
     clusters only. ``cluster_col`` names the clusters; without it, equal lower-cased texts
-    are one. A null source or cluster conflicts with nothing. Documents without words, null
+    are one. A null source or cluster conflicts with nothing. Items
+    of one size go in by descending id, null ids last; an item takes the tightest bin that fits,
+    among equals one that no smaller test finds in conflict. Documents without words, null
     texts included, give no piece; rows that repeat an id are documents of their own, and a
     cluster if their texts are equal; an empty table gives an empty result; columns of clashing names are not
     read. Bins are numbered from 0 in each shard; shards are dealt by a hash of id and text.
