@@ -1,15 +1,18 @@
-"""Windows that occur more than once in a corpus: distributed candidate search.
+"""Windows that occur more than once in a corpus: distributed dealing of suffixes.
 
 1. Every window belongs to its anchor, the leftmost least gram inside it. Neighbouring
    windows with one anchor form a context of bounded length.
-2. Anchors are counted by hash. One that occurs once proves its windows unique.
-3. Contexts that recur as a whole are settled: all their windows repeat.
-4. The first of each distinct context of an anchor with several is compared, window by
-   window, by the operator's own index. An anchor with more distinct contexts than
-   ``group_limit`` is settled by counting window fingerprints, which combine before
-   the shuffle, so no task gathers an unbounded group.
-
-Only anchors move through the counting shuffles; texts move once.
+2. Equal contexts are merged, with their number and first occurrence. An anchor with one
+   context in all proves its windows unique.
+3. The distinct contexts of an anchor are compared, window by window, by the operator's own
+   index, each with its number of occurrences.
+4. An anchor with more than ``group_limit`` distinct contexts would fill a task. Its windows
+   go through digit passes over the cluster, from the most significant digit: groups of one
+   drop out, those left after the last digit are the repeated windows.
+5. What is found of a context holds at each of its occurrences.
+
+Only anchors move through the counting shuffles; texts move once. Keys that hold more than
+a thousandth of the rows of a join, at most a thousand, are joined where the rows are.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from . import arrays as A
 from .store import Cuts
 
 ANCHOR = "h long, c long, uid long, p int, w int"
-PIECE = "h long, uid long, p int, w int, body binary"
-RANGE = "uid long, p int, w int"
+PIECE = "h long, c long, n long, uid long, p int, w int, body binary"
+RANGES = "array<struct<a:int,k:int,own:boolean>>"
+FOUND = f"h long, c long, n long, uid long, p int, ranges {RANGES}"
+DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -38,7 +43,7 @@ class Windows:
     length: int
     gram: int
     keep_first: bool
-    group_limit: int = 500
+    group_limit: int = 4000
     bucket_rows: int = 1000
 
 
@@ -80,78 +85,113 @@ def _piece_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def run(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], [], []]
             for uid, text, wants in zip(batch["uid"].to_pylist(), bodies(batch["text"]), batch["wants"].to_pylist()):
                 source = A.Words([text]).hashes() if spec.words else text
                 for x in wants:
                     body = source[x["p"] : x["p"] + x["w"] + extra]
-                    for column, v in zip(out, (x["h"], uid, x["p"], x["w"], body.tobytes() if spec.words else body)):
+                    for column, v in zip(out, (x["h"], x["c"], x["n"], uid, x["p"], x["w"], body.tobytes() if spec.words else body)):
                         column.append(v)
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h", "uid", "p", "w", "body"])
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h", "c", "n", "uid", "p", "w", "body"])
 
     return run
 
 
 def _window_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Two fingerprints of each window of a piece."""
+    """Each window of a piece with its digits."""
+    step = -(-spec.length // DIGITS)
 
     def run(batches):
         for batch in batches:
-            for uid, p, w, body in zip(*(batch[k].to_pylist() for k in ("uid", "p", "w", "body"))):
-                codes = np.frombuffer(body, np.uint64) if spec.words else A.BYTE_CODE[np.frombuffer(body, np.uint8)]
+            for h, c, n, uid, p, w, body in zip(*(batch[k].to_pylist() for k in ("h", "c", "n", "uid", "p", "w", "body"))):
+                roll = A.Rolling(np.frombuffer(body, np.uint64) if spec.words else A.BYTE_CODE[np.frombuffer(body, np.uint8)])
                 at = np.arange(w)
-                one = A.Rolling(codes).of(at, at + spec.length).view(np.int64)
-                two = A.Rolling(A.mix(codes)).of(at, at + spec.length).view(np.int64)
-                columns = [one, two, np.full(w, uid, np.int64), (p + at).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["w1", "w2", "uid", "p"])
+                columns = [np.full(w, x, np.int64) for x in (h, c, n, uid, p)] + [at.astype(np.int32)]
+                columns += [roll.of(at + min(d * step, spec.length), at + min((d + 1) * step, spec.length)).view(np.int64) for d in range(DIGITS)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "n", "uid", "p", "i", *(f"d{d}" for d in range(DIGITS))])
 
     return run
 
 
-def ranges_table(uid: np.ndarray, p: np.ndarray) -> pa.Table:
-    """Windows at (uid, p), sorted, as ranges."""
-    new = np.concatenate([[True], (uid[1:] != uid[:-1]) | (p[1:] != p[:-1] + 1)]) if len(uid) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    w = np.diff(np.concatenate([at, [len(uid)]]))
-    return pa.table({"uid": pa.array(uid[at], pa.int64()), "p": pa.array(p[at], pa.int32()), "w": pa.array(w, pa.int32())})
+def found_table(pieces: pa.Table, owner: np.ndarray, inside: np.ndarray, own: np.ndarray) -> pa.Table:
+    """Pieces with windows ``inside`` them, sorted by piece and place, as lists of ranges ``(a, k, own)``."""
+    if not len(owner):
+        new, width = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    else:
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1] + 1) | (own[1:] != own[:-1])]))
+        width = np.diff(np.concatenate([new, [len(owner)]]))
+    which = owner[new]
+    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else new
+    values = pa.StructArray.from_arrays([pa.array(inside[new], pa.int32()), pa.array(width, pa.int32()), pa.array(own[new], pa.bool_())], ["a", "k", "own"])
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([first, [len(which)]]), pa.int32()), values)
+    kept = pieces.select(["h", "c", "n", "uid", "p"]).take(pa.array(which[first], pa.int64()))
+    return kept.append_column("ranges", lists)
+
+
+def spread_join(cuts: Cuts, rows: DataFrame, keyed_rows: DataFrame, keys: list[str], count: str, parts: int = 1000) -> DataFrame:
+    """Inner join with a table of unique ``keys``, of which ``count`` tells how many ``rows`` it has.
+
+    Keys with more than a ``parts``-th of all, at most ``parts`` of them, are broadcast, and
+    their rows go anywhere; the others meet by their hash.
+    """
+    table = cuts.cut(keyed_rows)
+    values = [c for c in table.columns if c not in keys]
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = table.filter(F.col(count) * parts > total + 1000 * parts)
+    cold = table.filter(F.col(count) * parts <= total + 1000 * parts).select(*keys, F.struct(*values).alias("_cold"), F.lit(0).cast("long").alias("_salt"))
+    marked = rows.join(F.broadcast(hot.select(*keys, F.struct(*values).alias("_hot"))), keys, "left")
+    anywhere = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(1 << 20)) + 1
+    dealt = marked.withColumn("_salt", F.when(F.col("_hot").isNotNull(), anywhere).otherwise(F.lit(0)).cast("long"))
+    met = dealt.join(cold, [*keys, "_salt"], "left").withColumn("_got", F.coalesce("_hot", "_cold")).filter("_got is not null")
+    return met.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])
+
+
+def _digit_passes(cuts: Cuts, windows: DataFrame, keep_first: bool) -> DataFrame:
+    """Windows of crowded anchors that repeat, by passes over their digits; ``FOUND`` rows."""
+    rows = windows.withColumn("g", F.col("h"))
+    for d in range(DIGITS):
+        rows = cuts.cut(rows.withColumn("g", F.xxhash64("g", f"d{d}")).drop(f"d{d}"))
+        place = F.struct("uid", (F.col("p") + F.col("i")).alias("at"))
+        groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("times"), F.min(place).alias("first")).filter("times > 1")
+        last = d == DIGITS - 1
+        rows = spread_join(cuts, rows, groups if last else groups.select("g", "rows"), ["g"], "rows")
+        rows = rows if last else rows.drop("rows")
+    own = (F.col("first.uid") == F.col("uid")) & (F.col("first.at") == F.col("p") + F.col("i")) if keep_first else F.lit(False)
+    rows = rows.withColumn("own", own).filter(~F.col("own") | (F.col("n") > 1))
+    one = F.struct(F.col("i").alias("a"), F.lit(1).alias("k"), "own")
+    return rows.groupBy("h", "c", "n", "uid", "p").agg(F.collect_list(one).alias("ranges"))
 
 
 def repeated(cuts: Cuts, docs: DataFrame, spec: Windows, resolve: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """``(uid, p, w)``: w windows from symbol p on that occur elsewhere (``keep_first``: earlier).
 
-    ``resolve`` gets pieces, all of an anchor together, and returns such rows for them.
+    ``resolve`` gets pieces, all of an anchor together, and returns ``FOUND`` rows for them.
+    A range that is ``own`` is the window's first occurrence: it stays there.
     """
     every = cuts.cut(docs.select("uid", "text").mapInArrow(_anchor_rows(spec), ANCHOR))
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"))
-    often = cuts.cut(often.filter("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("many")))
-    again = cuts.cut(every.join(often, "h"))
-    cuts.drop(every, often)
-    grouped = again if spec.keep_first else again.filter("many")
     first = F.min(F.struct("uid", "p", "w")).alias("first")
-    kinds = cuts.cut(grouped.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("many").alias("many"), first))
-    whole = grouped.join(kinds.filter("n > 1").select("h", "c", "first"), ["h", "c"])
-    if spec.keep_first:
-        settled = whole.filter("uid != first.uid or p != first.p").select("uid", "p", "w")
-    else:
-        settled = whole.select("uid", "p", "w").unionByName(again.filter("not many").select("uid", "p", "w"))
-    ship = kinds.filter("many").select("h", "first.*")
-    crowds = cuts.cut(ship.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > spec.group_limit).select("h"))
-    wants = ship.groupBy("uid").agg(F.collect_list(F.struct("h", "p", "w")).alias("wants"))
+    kinds = cuts.cut(every.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), first).select("h", "c", "n", "first.*"))
+    often = kinds.groupBy("h").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1").drop("times")
+    ship = cuts.cut(spread_join(cuts, kinds, often, ["h"], "kinds"))
+    wants = ship.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "n", "p", "w")).alias("wants"))
     pieces = docs.select("uid", "text").filter("uid is not null").join(wants, "uid").mapInArrow(_piece_rows(spec), PIECE)
-    buckets = 1 + ship.count() // spec.bucket_rows
+    crowds = cuts.cut(ship.filter(F.col("kinds") > spec.group_limit).select("h").distinct())
     crowded = not crowds.isEmpty()
     light = pieces.join(crowds, "h", "left_anti") if crowded else pieces
-    light = light.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
-    compared = light.groupBy("bucket").applyInArrow(resolve, RANGE)
-    out = settled.unionByName(compared)
+    buckets = 1 + ship.count() // spec.bucket_rows
+    found = light.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(resolve, FOUND)
     if crowded:
-        each = pieces.join(crowds, "h", "left_semi").mapInArrow(_window_rows(spec), "w1 long, w2 long, uid long, p int")
-        twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "p")).alias("first"))
-        both = each.join(twice.filter("n > 1"), ["w1", "w2"])
-        both = both.filter("uid != first.uid or p != first.p") if spec.keep_first else both
-        out = out.unionByName(both.select("uid", "p", F.lit(1).alias("w")))
-    return out
+        digits = ", ".join(f"d{d} long" for d in range(DIGITS))
+        windows = pieces.join(crowds, "h", "left_semi").mapInArrow(_window_rows(spec), f"h long, c long, n long, uid long, p long, i int, {digits}")
+        found = found.unionByName(_digit_passes(cuts, windows, spec.keep_first).withColumn("p", F.col("p").cast("int")))
+    found = cuts.cut(found)
+    cuts.drop(kinds, ship)
+    here = found.select("uid", "p", F.explode("ranges").alias("r"))
+    here = here.filter("not r.own") if spec.keep_first else here
+    others = found.filter("n > 1").select("h", "c", "n", F.col("uid").alias("uid0"), F.col("p").alias("p0"), "ranges")
+    there = spread_join(cuts, every, others, ["h", "c"], "n").filter("uid != uid0 or p != p0").select("uid", "p", F.explode("ranges").alias("r"))
+    return here.unionByName(there).select("uid", (F.col("p") + F.col("r.a")).alias("p"), F.col("r.k").alias("w"))
 
 
 def with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:

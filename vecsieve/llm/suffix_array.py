@@ -4,7 +4,7 @@ The suffix order needs only the first ``threshold`` bytes of each suffix: a radi
 from the most significant digit refines groups of equal suffixes and drops those of
 one; the groups left after the last digit are exactly the repeated windows. The first
 digit, an anchor gram, deals the groups out over the cluster (``repeats``); the other
-digits are sorted inside a task.
+digits are sorted inside a task, or over the cluster where an anchor has too many contexts.
 """
 
 from __future__ import annotations
@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .repeats import Windows, bodies, ranges_table, repeated, with_ranges
+from .repeats import Windows, bodies, found_table, repeated, with_ranges
 from .store import Cuts, keyed, restore_id
 
 OUT = "uid long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string"
 
 
-def radix_groups(group: np.ndarray, suffix: np.ndarray, body: np.ndarray, threshold: int, digit: int) -> np.ndarray:
-    """Indices of suffixes whose first ``threshold`` bytes recur within their group."""
+def radix_groups(group: np.ndarray, suffix: np.ndarray, times: np.ndarray, body: np.ndarray, threshold: int, digit: int) -> np.ndarray:
+    """Indices of suffixes whose first ``threshold`` bytes recur within their group; suffix i stands for ``times[i]``."""
     roll = A.Rolling(A.BYTE_CODE[body])
     alive, rank = np.arange(len(suffix)), group
     for at in range(0, threshold, digit):
@@ -33,7 +33,7 @@ def radix_groups(group: np.ndarray, suffix: np.ndarray, body: np.ndarray, thresh
         r, v = rank[order], value[order]
         new = np.concatenate([[True], (r[1:] != r[:-1]) | (v[1:] != v[:-1])]) if len(r) else np.zeros(0, bool)
         label = np.cumsum(new) - 1
-        shared = np.bincount(label)[label] > 1 if len(label) else new
+        shared = np.bincount(label, times[alive[order]])[label] > 1 if len(label) else new
         alive, rank = alive[order][shared], label[shared]
     return np.sort(alive)
 
@@ -47,10 +47,8 @@ def _resolver(threshold: int, digit: int):
         owner = np.repeat(np.arange(len(w)), w)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(w) - w, w)
         group = np.unique(table["h"].to_numpy(), return_inverse=True)[1][owner]
-        hit = radix_groups(group, start[owner] + inside, np.frombuffer(b"".join(parts), np.uint8), threshold, digit)
-        uid, p = table["uid"].to_numpy()[owner[hit]], table["p"].to_numpy()[owner[hit]] + inside[hit]
-        order = np.lexsort((p, uid))
-        return ranges_table(uid[order], p[order])
+        hit = radix_groups(group, start[owner] + inside, table["n"].to_numpy()[owner], np.frombuffer(b"".join(parts), np.uint8), threshold, digit)
+        return found_table(table, owner[hit], inside[hit], np.zeros(len(hit), bool))
 
     return resolve
 
