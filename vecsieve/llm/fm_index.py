@@ -1,11 +1,11 @@
 """Substring deduplication by compressed FM-indexes.
 
-A shard holds the word contexts of some anchors (``repeats``). Its index is the
-Burrows-Wheeler transform of their suffixes, ordered through ``window`` words, in a
-wavelet matrix of packed bits with block counts. Documents' contexts are streamed
-against it: backward search extends each match leftwards, and windows whose matching
-statistic reaches the threshold get the interval of their occurrences, the least of
-which tells whether the window starts earlier.
+A shard holds the distinct word contexts of some anchors (``repeats``). Its index is the
+Burrows-Wheeler transform of their suffixes in a wavelet matrix of packed bits with block
+counts, and every eighth place of the suffix array. Documents' contexts are streamed against
+it in blocks: backward search gives each end its matching statistic, the length of the
+longest match that ends there and occurs twice, and the interval of its occurrences. Where
+it reaches the threshold, the least place in the interval tells which window came first.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import arrays as A
-from .repeats import Windows, bodies, ranges_table, repeated, with_ranges
+from .repeats import Windows, bodies, found_table, repeated, with_ranges
 from .store import Cuts, keyed, restore_id
 
 OUT = "uid long, n_words long, n_removed long, spans array<struct<start:long,end:long>>, kept string, kept_sha256 string"
@@ -41,71 +41,114 @@ class PackedBits:
 
 
 class FMIndex:
-    """Index of ``text`` (symbols from 0 on), exact for patterns of up to ``depth`` symbols."""
-
-    def __init__(self, text: np.ndarray, depth: int):
-        n, self.sigma = len(text), int(text.max()) + 1
-        rank, k = text.astype(np.int64), 1
-        while k < depth:
+    """Index of pieces, each a list of symbols from 0 to ``sigma`` - 1, with the number of times each stands for."""
+
+    SAMPLE = 8
+    BLOCK = 1 << 16
+
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, times: np.ndarray, sigma: int):
+        count = len(lengths)
+        self.start = np.cumsum(lengths + 1) - lengths - 1
+        owner = np.repeat(np.arange(count), lengths)
+        self.text = text = np.zeros(len(symbols) + count, np.int64)
+        text[np.arange(len(symbols)) + owner] = symbols + count
+        text[self.start + lengths] = np.arange(count)  # each piece ends with a symbol of its own
+        n, self.sigma = len(text), sigma + count
+        rank, k = text, 1
+        while k <= int(lengths.max(initial=0)):
             after = np.concatenate([rank[k:] + 1, np.zeros(min(k, n), np.int64)])
             rank = np.unique(rank * (n + self.sigma + 1) + after, return_inverse=True)[1]
             k *= 2
-        self.suffix = np.argsort(rank, kind="stable")
-        last = text[self.suffix - 1]
+        suffix = np.argsort(rank, kind="stable")
+        self.sampled = PackedBits((suffix % self.SAMPLE == 0).astype(np.uint8))
+        self.places = suffix[suffix % self.SAMPLE == 0].astype(np.int32)
+        weight = np.repeat(times, lengths + 1)
+        self.weights = np.concatenate([[0], np.cumsum(weight[suffix])])
+        last = text[suffix - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.sigma))])
         self.levels = []
         for bit in range(max(1, (self.sigma - 1).bit_length()) - 1, -1, -1):
             bits = (last >> bit) & 1
             self.levels.append((bit, PackedBits(bits)))
             last = np.concatenate([last[bits == 0], last[bits == 1]])
+        # where the occurrences of a symbol begin at the last level, and in the first column
+        runs, at = np.unique(last, return_index=True)
+        leaf = np.zeros(self.sigma, np.int64)
+        leaf[runs] = at
+        self.offset = self.first[: self.sigma] - leaf
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with ``symbol`` put in front."""
-        start, lo, hi = np.zeros_like(low), low, high
+        lo, hi = low, high
         for bit, packed in self.levels:
             one = ((symbol >> bit) & 1).astype(bool)
-            a, b, c = packed.ones(start), packed.ones(lo), packed.ones(hi)
-            start = np.where(one, packed.zeros + a, start - a)
+            b, c = packed.ones(lo), packed.ones(hi)
             lo = np.where(one, packed.zeros + b, lo - b)
             hi = np.where(one, packed.zeros + c, hi - c)
-        base = self.first[symbol]
-        return base + lo - start, base + hi - start
-
-    def repeats(self, text: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of windows ``text[start : start + length]``, those with two occurrences or more: index, interval."""
-        alive = np.arange(len(start))
-        low, high = np.zeros(len(start), np.int64), np.full(len(start), len(text), np.int64)
-        for back in range(length - 1, -1, -1):
-            low, high = self.extend(text[start[alive] + back], low, high)
-            more = high - low > 1
-            alive, low, high = alive[more], low[more], high[more]
-        return alive, low, high
+        return self.offset[symbol] + lo, self.offset[symbol] + hi
+
+    def before(self, row: np.ndarray) -> np.ndarray:
+        """Rows of the suffixes one symbol longer."""
+        symbol, at = np.zeros_like(row), row
+        for _, packed in self.levels:
+            b = packed.ones(at)
+            one = packed.ones(at + 1) > b
+            symbol = 2 * symbol + one
+            at = np.where(one, packed.zeros + b, at - b)
+        return self.offset[symbol] + at
+
+    def locate(self, row: np.ndarray) -> np.ndarray:
+        """Places of suffixes, by steps to the next sampled one."""
+        out, todo, at = np.zeros(len(row), np.int64), np.arange(len(row)), row
+        for steps in range(self.SAMPLE):
+            known = self.sampled.ones(at + 1) - self.sampled.ones(at) > 0
+            out[todo[known]] = self.places[self.sampled.ones(at[known])] + steps
+            todo, at = todo[~known], self.before(at[~known])
+        return out
+
+    def statistics(self, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of the ends of the text's prefixes, up to ``most``, with the intervals of the matches.
+
+        A match occurs twice, counting the number of times of each piece.
+        """
+        stat, low, high = (np.zeros(len(end), np.int64) for _ in range(3))
+        for at in range(0, len(end), self.BLOCK):
+            some = end[at : at + self.BLOCK]
+            alive, lo, hi = np.arange(len(some)), np.zeros(len(some), np.int64), np.full(len(some), len(self.text), np.int64)
+            for back in range(1, most + 1):
+                lo, hi = self.extend(self.text[some[alive] - back], lo, hi)
+                more = self.weights[hi] - self.weights[lo] > 1
+                alive, lo, hi = alive[more], lo[more], hi[more]
+                stat[at + alive], low[at + alive], high[at + alive] = back, lo, hi
+        return stat, low, high
+
+    def earliest(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least place in each interval; intervals are equal or disjoint."""
+        lows, which, found = np.unique(low, return_index=True, return_inverse=True)
+        sizes = high[which] - lows
+        starts = np.cumsum(sizes) - sizes
+        rows = np.repeat(lows - starts, sizes) + np.arange(int(sizes.sum()))
+        return np.minimum.reduceat(self.locate(rows), starts)[found]
 
 
 def _resolver(window: int):
     def resolve(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table["p"].to_numpy(), table["uid"].to_numpy()))
-        table = table.take(pa.array(order))
-        uid, p, w = (table[k].to_numpy().astype(np.int64) for k in ("uid", "p", "w"))
+        table = table.take(pa.array(np.lexsort((table["p"].to_numpy(), table["uid"].to_numpy()))))
+        times, w = (table[k].to_numpy().astype(np.int64) for k in ("n", "w"))
         parts = [np.frombuffer(x, np.uint64) for x in table["body"].to_pylist()]
         names, code = np.unique(np.concatenate(parts), return_inverse=True)
-        lengths = w + window - 1
-        start = np.cumsum(lengths + 1) - lengths - 1
-        text = np.zeros(int((lengths + 1).sum()), np.int64)
-        owner = np.repeat(np.arange(len(w)), lengths)
-        text[np.arange(len(owner)) + owner] = code + 1
-        index = FMIndex(text, window)
+        index = FMIndex(code, w + window - 1, times, len(names))
         owner = np.repeat(np.arange(len(w)), w)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(w) - w, w)
-        at = start[owner] + inside
-        hit, low, high = index.repeats(text, at, window)
+        at = index.start[owner] + inside
+        stat, low, high = index.statistics(at + window, window)
+        hit = np.flatnonzero(stat >= window)
         if not len(hit):
-            return ranges_table(uid[:0], p[:0])
-        lows, which, found = np.unique(low, return_index=True, return_inverse=True)
-        edges = np.stack([lows, high[which]], 1).ravel()
-        earliest = np.minimum.reduceat(np.append(index.suffix, len(text)), edges)[::2][found]
-        late = hit[earliest < at[hit]]
-        return ranges_table(uid[owner[late]], p[owner[late]] + inside[late])
+            return found_table(table, hit, hit, np.zeros(0, bool))
+        own = index.earliest(low[hit], high[hit]) == at[hit]
+        told = ~own | (times[owner[hit]] > 1)
+        hit, own = hit[told], own[told]
+        return found_table(table, owner[hit], inside[hit], own)
 
     return resolve
 
