@@ -18,8 +18,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; in local tests, where it is unset, a new temporary folder."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, the warehouse, or a temporary folder if all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="vecsieve-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -66,17 +68,16 @@ class Cuts:
 def keyed(cuts: Cuts, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(uid, id, text)``; ``uid`` is unique per row and ordered as the ids are.
 
-    Ids that are unique and not null are the uids. Otherwise rows are numbered by
-    (id, text), nulls first, so that every row stays a document of its own.
+    Ids that are unique and not null are the uids. Otherwise rows are sorted by (id, text),
+    nulls first, over the cluster, and numbered, so that every row stays a document of its own.
     """
     two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     odd = two.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col("id").isNull())
     if odd.isEmpty():
         return two.select(F.col("id").alias("uid"), "id", "text")
-    numbered = two.orderBy(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()).rdd.zipWithIndex()
-    flat = numbered.map(lambda x: (x[1], x[0][0], x[0][1]))
     cuts.renumbered = True
-    return cuts.cut(docs.sparkSession.createDataFrame(flat, "uid long, id long, text string"))
+    numbered = two.orderBy(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()).withColumn("uid", F.monotonically_increasing_id())
+    return cuts.cut(numbered.select("uid", "id", "text"))
 
 
 def restore_id(cuts: Cuts, out: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
