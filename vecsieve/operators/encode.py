@@ -9,15 +9,23 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import nearest
+from .search import dense, nearest_words, slabs, whole
 
 
-def centers_table(df: DataFrame, centers: np.ndarray) -> DataFrame:
-    rows = [(w, d, float(v)) for w, c in enumerate(centers) for d, v in enumerate(c)]
-    return df.sparkSession.createDataFrame(rows, "word int, dim int, c double")
+def _batches(batches):
+    """Images and vectors of batches of local descriptors."""
+    for batch in batches:
+        if len(batch):
+            images, at = np.unique(batch["image_id"].to_numpy(), return_inverse=True)
+            yield batch, images, at, dense(batch["vec"])
+
+
+def _long(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
 def term_frequencies(words: DataFrame) -> DataFrame:
@@ -54,16 +62,29 @@ def power(value: str, alpha: float | None) -> Column:
     return x if alpha is None else F.signum(x) * F.pow(F.abs(x), F.lit(alpha))
 
 
-def long_vectors(df: DataFrame) -> DataFrame:
-    rest = [c for c in df.columns if c != "vec"]
-    return df.select(*rest, F.posexplode("vec").alias("dim", "x"))
+def histograms(tf: DataFrame, images: DataFrame, words: DataFrame) -> DataFrame:
+    """``(image_id, counts)``: one count per word for every image, zeros for those without descriptors."""
+    size = words.count()
+    held = tf.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "tf"))).alias("m"))
+    every = images.select(F.col("id").alias("image_id")).join(held, "image_id", "left")
+    one = lambda i: F.coalesce(F.try_element_at("m", i.cast("int")), F.lit(0)).cast("long")
+    return every.select("image_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), one).alias("counts"))
 
 
 def vlad_raw(local: DataFrame, centers: np.ndarray) -> DataFrame:
-    """``(image_id, word, dim, value)``: residual sums over the descriptors nearest to each word."""
-    long = long_vectors(nearest(local, centers))
-    table = F.broadcast(centers_table(local, centers))
-    return long.join(table, ["word", "dim"]).groupBy("image_id", "word", "dim").agg(F.sum(F.col("x") - F.col("c")).alias("value"))
+    """``(image_id, word, dim, value)``: residual sums over the descriptors nearest to each word, summed per batch before the shuffle."""
+    k, d = centers.shape
+
+    def run(batches):
+        for _, images, at, x in _batches(batches):
+            word = nearest_words(x, centers)
+            cell, where = np.unique(at * k + word, return_inverse=True)
+            sums = np.zeros((len(cell), d))
+            np.add.at(sums, where, x - centers[word])
+            yield _long(["image_id", "word", "dim", "value"], np.repeat(images[cell // k], d), np.repeat((cell % k).astype(np.int32), d), np.tile(np.arange(d, dtype=np.int32), len(cell)), sums.ravel())
+
+    part = whole(local).select("image_id", "vec").mapInArrow(run, "image_id long, word int, dim int, value double")
+    return part.groupBy("image_id", "word", "dim").agg(F.sum("value").alias("value"))
 
 
 def vlad_encode(raw: DataFrame, alpha: float | None = None, intra: bool = True) -> DataFrame:
@@ -81,32 +102,53 @@ class Mixture:
         if not (self.means.shape == self.variances.shape and len(weights) == len(means)):
             raise ValueError("shapes of weights, means and variances do not agree")
 
-    def table(self, df: DataFrame) -> DataFrame:
-        rows = [(k, float(w), m.tolist(), v.tolist()) for k, (w, m, v) in enumerate(zip(self.weights, self.means, self.variances))]
-        return df.sparkSession.createDataFrame(rows, "comp int, w double, mu array<double>, var array<double>")
+    def responsibilities(self, x: np.ndarray) -> np.ndarray:
+        """(n, k) posteriors, by a soft maximum of the log joint densities."""
+        v = self.variances
+        constant = np.log(self.weights) - 0.5 * (x.shape[1] * math.log(2 * math.pi) + np.log(v).sum(1) + (self.means**2 / v).sum(1))
+        joint = constant - 0.5 * (x**2 @ (1 / v).T) + x @ (self.means / v).T
+        joint = np.exp(joint - joint.max(1, keepdims=True))
+        return joint / joint.sum(1, keepdims=True)
 
 
 def posteriors(local: DataFrame, mixture: Mixture) -> DataFrame:
-    """``(image_id, kp, vec, comp, w, mu, var, gamma)``; the mixture is a model of k times d values."""
-    d = mixture.means.shape[1]
-    joined = local.join(F.broadcast(mixture.table(local)))
-    far = F.aggregate(F.zip_with(F.zip_with("vec", "mu", lambda x, m: (x - m) * (x - m)), "var", lambda s, v: s / v), F.lit(0.0), lambda a, x: a + x)
-    logs = F.aggregate("var", F.lit(0.0), lambda a, v: a + F.log(v))
-    lp = F.log("w") - 0.5 * (F.lit(d * math.log(2 * math.pi)) + logs + far)
-    each = Window.partitionBy("image_id", "kp")
-    out = joined.withColumn("_lp", lp).withColumn("_e", F.exp(F.col("_lp") - F.max("_lp").over(each)))
-    return out.withColumn("gamma", F.col("_e") / F.sum("_e").over(each)).drop("_lp", "_e")
+    """``(image_id, kp, comp, gamma)``; the mixture is a model of k times d values."""
+    k = len(mixture.weights)
+
+    def run(batches):
+        for batch, _, _, x in _batches(batches):
+            for part in slabs(len(x), k):
+                g = mixture.responsibilities(x[part])
+                image, kp = (np.repeat(batch[c].to_numpy()[part], k) for c in ("image_id", "kp"))
+                yield _long(["image_id", "kp", "comp", "gamma"], image, kp.astype(np.int32), np.tile(np.arange(k, dtype=np.int32), len(g)), g.ravel())
+
+    return whole(local).select("image_id", "kp", "vec").mapInArrow(run, "image_id long, kp int, comp int, gamma double")
 
 
 def fisher_raw(local: DataFrame, mixture: Mixture) -> DataFrame:
-    """``(image_id, part, comp, dim, value)``; part 0 holds the gradients of means, part 1 those of deviations."""
-    p = posteriors(local, mixture)
-    n = local.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
-    u = F.zip_with(F.zip_with("vec", "mu", lambda x, m: x - m), "var", lambda x, v: x / F.sqrt(v))
-    long = p.select("image_id", "comp", "w", "gamma", F.posexplode(u).alias("dim", "u"))
-    sums = long.groupBy("image_id", "comp", "w", "dim").agg(F.sum(F.col("gamma") * F.col("u")).alias("m"), F.sum(F.col("gamma") * (F.col("u") * F.col("u") - 1)).alias("s"))
-    sums = sums.join(n, "image_id")
-    both = F.array(F.col("m") / (F.col("n") * F.sqrt("w")), F.col("s") / (F.col("n") * F.sqrt(2 * F.col("w"))))
+    """``(image_id, part, comp, dim, value)``; part 0 holds the gradients of means, part 1 those of deviations; summed per batch before the shuffle."""
+    k, d = mixture.means.shape
+    deviation = np.sqrt(mixture.variances)
+
+    def run(batches):
+        for _, images, at, x in _batches(batches):
+            order = np.argsort(at, kind="stable")
+            edges = np.searchsorted(at[order], np.arange(len(images) + 1))
+            for i, image in enumerate(images):
+                own = x[order[edges[i] : edges[i + 1]]]
+                m, s = np.zeros((k, d)), np.zeros((k, d))
+                for part in slabs(len(own), k):
+                    y, g = own[part], mixture.responsibilities(own[part])
+                    zero, one, two = g.sum(0)[:, None], g.T @ y, g.T @ y**2
+                    m += (one - zero * mixture.means) / deviation
+                    s += (two - 2 * mixture.means * one + zero * mixture.means**2) / mixture.variances - zero
+                comp, dim = np.divmod(np.arange(k * d, dtype=np.int32), d)
+                yield _long(["image_id", "comp", "dim", "m", "s", "n"], np.full(k * d, image), comp, dim, m.ravel(), s.ravel(), np.full(k * d, len(own)))
+
+    part = whole(local).select("image_id", "vec").mapInArrow(run, "image_id long, comp int, dim int, m double, s double, n long")
+    sums = part.groupBy("image_id", "comp", "dim").agg(*[F.sum(c).alias(c) for c in ("m", "s", "n")])
+    w = F.element_at(F.lit([float(x) for x in mixture.weights]), F.col("comp") + 1)
+    both = F.array(F.col("m") / (F.col("n") * F.sqrt(w)), F.col("s") / (F.col("n") * F.sqrt(2 * w)))
     return sums.select("image_id", "comp", "dim", F.posexplode(both).alias("part", "value"))
 
 

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import Mixture, long_vectors, posteriors
-from .search import nearest
+from .encode import Mixture
+from .search import dense, nearest_words, slabs, whole
 
 FLOOR = 1e-12
 
@@ -27,47 +27,107 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     return df.orderBy(place, key).limit(n)
 
 
+def _sums(names: str, sums: np.ndarray, key: str) -> pa.RecordBatch:
+    """(k, d, values) as long rows."""
+    k, d, _ = sums.shape
+    one, dim = np.divmod(np.arange(k * d, dtype=np.int32), d)
+    columns = [one, dim, *sums.reshape(k * d, -1).T]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [key, "dim", *names])
+
+
+def lloyd_sums(local: DataFrame, centers: np.ndarray) -> DataFrame:
+    """``(word, dim, s, n)``: sums and numbers of the descriptors of each word, one row a task before the shuffle."""
+
+    def run(batches):
+        sums = np.zeros((*centers.shape, 2))
+        for batch in batches:
+            if len(batch):
+                x = dense(batch["vec"])
+                word = nearest_words(x, centers)
+                np.add.at(sums[:, :, 0], word, x)
+                sums[:, :, 1] += np.bincount(word, minlength=len(centers))[:, None]
+        yield _sums("sn", sums, "word")
+
+    part = whole(local).select("vec").mapInArrow(run, "word int, dim int, s double, n double")
+    return part.groupBy("word", "dim").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
 def lloyd_step(local: DataFrame, centers: np.ndarray) -> DataFrame:
     """``(word, dim, c)``: means of the descriptors assigned to each word."""
-    return long_vectors(nearest(local, centers)).groupBy("word", "dim").agg(F.avg("x").alias("c"))
+    return lloyd_sums(local, centers).filter("n > 0").select("word", "dim", (F.col("s") / F.col("n")).alias("c"))
+
+
+def _table(rows: pa.Table, shape: tuple[int, int], key: str, *values: str) -> list[np.ndarray]:
+    """Columns of long rows as (k, d) arrays; NaN where there is no row."""
+    out = []
+    for v in values:
+        held = np.full(shape, np.nan)
+        held[rows[key].to_numpy(), rows["dim"].to_numpy()] = rows[v].to_numpy()
+        out.append(held)
+    return out
 
 
 def lloyd(local: DataFrame, centers: np.ndarray, steps: int = 20, tolerance: float = 1e-6) -> np.ndarray:
     """Lloyd iterations from given centres; a word that loses all descriptors keeps its centre."""
     for _ in range(steps):
-        new = centers.copy()
-        for r in lloyd_step(local, centers).collect():
-            new[r["word"], r["dim"]] = r["c"]
+        (new,) = _table(lloyd_step(local, centers).toArrow(), centers.shape, "word", "c")
+        new = np.where(np.isnan(new), centers, new)
         if np.abs(new - centers).max() < tolerance:
             return new
         centers = new
     return centers
 
 
+def mini_batches(local: DataFrame, centers: np.ndarray, key: str, steps: int = 20, share: int = 8, seed: int = 0) -> np.ndarray:
+    """Mini-batch k-means: each step moves the centres towards the mean of one part in ``share``, by what they have seen so far."""
+    seen = np.zeros(len(centers))
+    dealt = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(share))
+    for step in range(steps):
+        s, n = _table(lloyd_sums(local.filter(dealt == step % share), centers).toArrow(), centers.shape, "word", "s", "n")
+        s, n = np.nan_to_num(s), np.nan_to_num(n)[:, 0]
+        seen += n
+        rate = np.divide(n, seen, out=np.zeros_like(seen), where=seen > 0)[:, None]
+        mean = np.divide(s, n[:, None], out=centers.copy(), where=n[:, None] > 0)
+        centers = centers + rate * (mean - centers)
+    return centers
+
+
 def train_vocabulary(local: DataFrame, k: int, seed: int = 0) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=k, seed=seed, featuresCol="features").fit(local.select(array_to_vector("vec").alias("features")))
+    model = KMeans(k=k, seed=seed, featuresCol="features").fit(whole(local).select(array_to_vector("vec").alias("features")))
     return np.array(model.clusterCenters())
 
 
 def em_step(local: DataFrame, mixture: Mixture) -> DataFrame:
-    """``(comp, dim, weight, mean, variance)`` after one expectation-maximisation step."""
-    p = posteriors(local, mixture).select("comp", "gamma", F.posexplode("vec").alias("dim", "x"))
-    g, x = F.col("gamma"), F.col("x")
-    sums = p.groupBy("comp", "dim").agg(F.sum(g).alias("n"), F.sum(g * x).alias("s"), F.sum(g * x * x).alias("q"))
-    total = local.count()
+    """``(comp, dim, weight, mean, variance)`` after one expectation-maximisation step; sums are taken per task."""
+    k, d = mixture.means.shape
+
+    def run(batches):
+        sums = np.zeros((k, d, 4))
+        for batch in batches:
+            x = dense(batch["vec"]) if len(batch) else np.zeros((0, d))
+            for part in slabs(len(x), k):
+                y, g = x[part], mixture.responsibilities(x[part])
+                for at, v in enumerate((g.sum(0)[:, None], g.T @ y, g.T @ y**2, len(y))):
+                    sums[:, :, at] += v
+        yield _sums(["n", "s", "q", "t"], sums, "comp")
+
+    part = whole(local).select("vec").mapInArrow(run, "comp int, dim int, n double, s double, q double, t double")
+    sums = part.groupBy("comp", "dim").agg(*[F.sum(c).alias(c) for c in "nsqt"])
     mean = F.col("s") / F.col("n")
-    return sums.select("comp", "dim", (F.col("n") / total).alias("weight"), mean.alias("mean"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(FLOOR)).alias("variance"))
+    return sums.select("comp", "dim", (F.col("n") / F.col("t")).alias("weight"), mean.alias("mean"), F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(FLOOR)).alias("variance"))
 
 
-def train_mixture(local: DataFrame, start: Mixture, steps: int = 10) -> Mixture:
+def train_mixture(local: DataFrame, start: Mixture, steps: int = 100, tolerance: float = 1e-3) -> Mixture:
+    """Expectation-maximisation until no mean moves by more than the tolerance."""
     for _ in range(steps):
-        w, m, v = start.weights.copy(), start.means.copy(), start.variances.copy()
-        for r in em_step(local, start).collect():
-            w[r["comp"]], m[r["comp"], r["dim"]], v[r["comp"], r["dim"]] = r["weight"], r["mean"], r["variance"]
-        start = Mixture(w, m, v)
+        w, m, v = _table(em_step(local, start).toArrow(), start.means.shape, "comp", "weight", "mean", "variance")
+        moved = np.abs(m - start.means).max()
+        start = Mixture(w[:, 0], m, v)
+        if moved < tolerance:
+            break
     return start
 
 
@@ -75,7 +135,7 @@ def _moments(batches):
     n, s, g = 0, None, None
     for batch in batches:
         if len(batch):
-            x = batch["vec"].values.to_numpy().reshape(len(batch), -1)
+            x = dense(batch["vec"])
             n, s, g = n + len(x), x.sum(0) if s is None else s + x.sum(0), x.T @ x if g is None else g + x.T @ x
     if n:
         d = len(s)
@@ -86,7 +146,7 @@ def _moments(batches):
 
 def gram(vectors: DataFrame) -> DataFrame:
     """``(i, j, g, si, sj, n)``: sums of products and of values over all rows of ``vec``."""
-    part = vectors.select(F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_moments, "i int, j int, g double, si double, sj double, n long")
+    part = whole(vectors.select(F.col("vec").cast("array<double>").alias("vec"))).mapInArrow(_moments, "i int, j int, g double, si double, sj double, n long")
     return part.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("g", "si", "sj", "n")])
 
 
@@ -109,13 +169,21 @@ class PCA:
     mean: np.ndarray
     components: np.ndarray
 
+    def leading(self, dim: int | None) -> PCA:
+        """The first ``dim`` components; all if None."""
+        if dim is not None and not 1 <= dim <= len(self.components):
+            raise ValueError(f"dim must be in 1..{len(self.components)}, got {dim}")
+        return PCA(self.mean, self.components[:dim])
+
     def transform(self, vectors: DataFrame) -> DataFrame:
-        """``vec`` replaced by its unit projection."""
+        """``vec`` replaced by its unit projection; rows without a whole vector go."""
         mean, components, names = self.mean, self.components, vectors.columns
 
         def run(batches):
             for batch in batches:
-                x = batch["vec"].values.to_numpy().reshape(len(batch), -1).astype(float)
+                if not len(batch):
+                    continue
+                x = dense(batch["vec"])
                 y = (x - mean) @ components.T
                 norm = np.linalg.norm(y, axis=1, keepdims=True)
                 y = np.divide(y, norm, out=np.zeros_like(y), where=norm > 0)
@@ -123,7 +191,7 @@ class PCA:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         schema = ", ".join(f"{f.name} {'array<double>' if f.name == 'vec' else f.dataType.simpleString()}" for f in vectors.schema.fields)
-        return vectors.mapInArrow(run, schema)
+        return whole(vectors).mapInArrow(run, schema)
 
 
 def pca_fit(vectors: DataFrame, dim: int, whiten: bool = False, shrinkage: float = 0.0) -> PCA:

@@ -6,7 +6,9 @@ is its rank less the number of ignored items before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Role of each grade under each protocol.
@@ -30,36 +32,52 @@ def protocol_sets(truth: DataFrame) -> DataFrame:
     return truth.join(F.broadcast(roles), "grade").select("protocol", "query_id", "image_id", "role").distinct()
 
 
-def filtered_positions(ranked: DataFrame, sets: DataFrame) -> DataFrame:
+def graded(truth: DataFrame) -> DataFrame:
+    """``(query_id, image_id, roles)``: one row per graded item; its role under each protocol that gives it one, ignored before positive."""
+    flags = truth.groupBy("query_id", "image_id").agg(*[F.max((F.col("grade") == g).cast("int")).alias(g) for g in ("easy", "hard", "junk")])
+    kinds = {}
+    for protocol in PROTOCOLS:
+        of = lambda role: [F.col(g) == 1 for p, g, r in ROLES if p == protocol and r == role]  # noqa: E731, B023
+        ignored, positive = (reduce(Column.__or__, of(role)) for role in ("ignored", "positive"))
+        kinds[protocol] = F.struct(F.lit(protocol).alias("protocol"), positive.alias("positive"), ignored.alias("ignored"))
+    roles = F.filter(F.array(*kinds.values()), lambda r: r["positive"] | r["ignored"])
+    return flags.select("query_id", "image_id", roles.alias("roles"))
+
+
+def _placed(ranked: DataFrame, items: DataFrame) -> DataFrame:
+    """``(protocol, query_id, image_id, pos, j)`` of positives: place and ordinal once ignored items are gone."""
+    seen = ranked.select("query_id", "image_id", "rank").join(items, ["query_id", "image_id"])
+    one = seen.select("query_id", "image_id", "rank", F.explode("roles").alias("r")).select("query_id", "image_id", "rank", "r.*")
+    order = Window.partitionBy("protocol", "query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    gone, found = F.sum(F.col("ignored").cast("long")).over(order), F.sum((~F.col("ignored")).cast("long")).over(order)
+    placed = one.withColumn("pos", F.col("rank") - gone).withColumn("j", found - 1)
+    return placed.filter(~F.col("ignored")).select("protocol", "query_id", "image_id", "pos", "j")
+
+
+def filtered_positions(ranked: DataFrame, truth: DataFrame) -> DataFrame:
     """``(protocol, query_id, image_id, pos)`` of positives once ignored items are dropped."""
-    roles = sets.groupBy("protocol", "query_id", "image_id").agg(F.min("role").alias("role"))
-    order = Window.partitionBy("protocol", "query_id").orderBy("rank")
-    gone = F.sum((F.col("role") == "ignored").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    seen = ranked.join(roles, ["query_id", "image_id"]).withColumn("pos", F.col("rank") - gone)
-    return seen.filter("role = 'positive'").select("protocol", "query_id", "image_id", "pos")
+    return _placed(ranked, graded(truth)).drop("j")
 
 
 def query_metrics(ranked: DataFrame, truth: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``(protocol, query_id, n_positive, ap, precision)`` for every query and protocol; NaN without positives.
 
-    A query whose positives are all missing from the ranking has AP 0 and a null precision.
+    A query whose positives are all missing from the ranking has AP and precision 0.
     """
-    spark: SparkSession = truth.sparkSession
-    sets = protocol_sets(truth)
-    n = sets.filter("role = 'positive'").groupBy("protocol", "query_id").agg(F.countDistinct("image_id").alias("n_positive"))
-    pos = filtered_positions(ranked, sets)
-    order = Window.partitionBy("protocol", "query_id")
-    j = F.row_number().over(order.orderBy("pos")) - 1
-    last = F.least(F.max("pos").over(order) + 1, F.lit(k))
+    items = graded(truth)
+    n = items.select("query_id", F.explode("roles").alias("r")).filter("r.positive").groupBy("query_id", F.col("r.protocol").alias("protocol")).agg(F.count(F.lit(1)).alias("n_positive"))
+    last = F.least(F.max("pos").over(Window.partitionBy("protocol", "query_id")) + 1, F.lit(k))
     p0 = F.when(F.col("pos") == 0, 1.0).otherwise(F.col("j") / F.col("pos"))
     p1 = (F.col("j") + 1) / (F.col("pos") + 1)
-    terms = pos.withColumn("j", j).withColumn("kq", last).withColumn("term", (p0 + p1) / 2)
+    terms = _placed(ranked, items).withColumn("kq", last).withColumn("term", (p0 + p1) / 2)
     found = terms.groupBy("protocol", "query_id").agg(F.sum("term").alias("terms"), (F.sum((F.col("pos") < F.col("kq")).cast("int")) / F.max("kq")).alias("precision"))
-    every = queries.select("query_id").join(F.broadcast(spark.createDataFrame([(p,) for p in PROTOCOLS], "protocol string")))
+    every = queries.select("query_id", F.explode(F.array(*map(F.lit, PROTOCOLS))).alias("protocol"))
     out = every.join(n, ["protocol", "query_id"], "left").join(found, ["protocol", "query_id"], "left")
-    none, nan = F.col("n_positive").isNull(), F.lit(float("nan"))
-    ap = F.when(none, nan).otherwise(F.coalesce("terms", F.lit(0.0)) / F.col("n_positive"))
-    return out.select("protocol", "query_id", F.coalesce("n_positive", F.lit(0)).alias("n_positive"), ap.alias("ap"), F.when(none, nan).otherwise(F.col("precision")).alias("precision"))
+    value = lambda c: F.when(F.col("n_positive").isNull(), float("nan")).otherwise(F.coalesce(c, F.lit(0.0)))
+    return out.select(
+        "protocol", "query_id", F.coalesce("n_positive", F.lit(0)).alias("n_positive"),
+        value(F.col("terms") / F.col("n_positive")).alias("ap"), value(F.col("precision")).alias("precision"),
+    )
 
 
 def evaluate(per_query: DataFrame, k: int = 10) -> DataFrame:

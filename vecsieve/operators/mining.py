@@ -66,6 +66,30 @@ def knn_precision(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return nearest_other(vectors).join(a, "query_id").join(b, "image_id").agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("precision_at_1"))
 
 
+def knn_average_precision(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean over rows of the average precision of their label in the ranking of all others; rows alone with their label do not count."""
+    a = labels.select(F.col("id").alias("query_id"), F.col("label").alias("a"))
+    b = labels.select(F.col("id").alias("image_id"), F.col("label").alias("b"))
+    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "image_id")
+    ranked = scores(vectors, vectors).filter("query_id != image_id").withColumn("place", F.row_number().over(order))
+    same = ranked.join(a, "query_id").join(b, "image_id").filter("a = b")
+    hits = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+    each = same.withColumn("p", hits / F.col("place")).groupBy("query_id").agg(F.avg("p").alias("ap"))
+    return each.agg(F.avg("ap").alias("mean_average_precision"))
+
+
+def stopped_epochs(curves: DataFrame, patience: int = 5, min_delta: float = 0.001) -> DataFrame:
+    """``(run, epochs, best)`` of curves ``(run, epoch, score)``: epochs until patience runs out, and the best score among them."""
+    past = Window.partitionBy("run").orderBy("epoch")
+    before = F.max("score").over(past.rowsBetween(Window.unboundedPreceding, -1))
+    gained = F.when(before.isNull() | (F.col("score") > before + min_delta), F.col("epoch"))
+    marked = curves.withColumn("gained", gained)
+    marked = marked.withColumn("since", F.col("epoch") - F.last("gained", True).over(past.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = marked.groupBy("run").agg(F.coalesce(F.min(F.when(F.col("since") >= patience, F.col("epoch"))), F.max("epoch")).alias("stop"))
+    ran = curves.join(ends, "run").filter("epoch <= stop")
+    return ran.groupBy("run").agg(F.count(F.lit(1)).alias("epochs"), F.max("score").alias("best"))
+
+
 def early_stop(scores_by_epoch: Iterable[float], patience: int | None = 5, min_delta: float = 0.001) -> tuple[int, float]:
     """Epochs run and the best score; gains up to ``min_delta`` move the best but not the patience."""
     best, since, epoch = float("-inf"), 0, -1

@@ -1,58 +1,99 @@
 """Exact search: rank all database vectors for every query.
 
-Query and database rows are packed into blocks of fixed size that meet over an equi-join on
-the block number; one matrix product scores a pair of blocks. Ranks come from a window, ties
-to the smaller id. With ``k`` a block sends its k best only.
+A query set of up to ``SMALL`` values, by count, goes to where the database rows are, which
+then do not move. Larger sets are packed into blocks of fixed size, as the database is, that
+meet over an equi-join on the block number; one matrix product scores a pair of blocks. Ranks
+come from a window, ties to the smaller id. With ``k`` a block sends its k best only. Rows
+whose vector is null or holds a null take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
 
+SMALL = 1 << 22
+CELLS = 1 << 22
+
+
+def whole(rows: DataFrame, vec: str = "vec") -> DataFrame:
+    """Rows whose vector is there and has no null."""
+    return rows.filter(F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull()))
+
+
+def dense(column: pa.Array | pa.ListScalar) -> np.ndarray:
+    """Vectors of equal width as a matrix; none of them is null."""
+    n = len(column)
+    flat = (column.flatten() if isinstance(column, pa.Array) else column.values.flatten()).to_numpy(zero_copy_only=False)
+    return flat.astype(float, copy=False).reshape(n, -1) if n else np.zeros((0, 1))
+
+
+def slabs(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose product with the columns stays below CELLS."""
+    step = max(1, CELLS // max(1, columns))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+def _emit(queries: np.ndarray, a: np.ndarray, items: np.ndarray, b: np.ndarray, k: int | None) -> Iterator[pa.RecordBatch]:
+    for part in slabs(len(queries), len(items)):
+        s = a[part] @ b.T
+        if k is None or k >= len(items):
+            row, col = np.divmod(np.arange(s.size), max(1, len(items)))
+        else:
+            edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero(s >= edge[:, None])
+        columns = [queries[part][row], items[col], s[row, col]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "image_id", "sim"])
+
+
+SCORES = "query_id long, image_id long, sim double"
 
-def blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    count = 1 + rows.count() // size
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(count)))
-    return dealt.groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("vec")).alias(f"{name}_values")), count
 
+def _beside(ids: np.ndarray, vectors: np.ndarray, k: int | None):
+    def run(batches):
+        for batch in batches:
+            if len(batch) and len(ids):
+                yield from _emit(ids, vectors, batch["id"].to_numpy(), dense(batch["vec"]), k)
 
-def matrix(ids: pa.Scalar, values: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-    names = ids.values.to_numpy()
-    return names, values.values.to_numpy().reshape(len(names), -1)
+    return run
 
 
-def _score(k: int | None):
+def _between(k: int | None):
     def run(batches):
         for batch in batches:
-            for qi, qv, di, dv in zip(batch["q_ids"], batch["q_values"], batch["d_ids"], batch["d_values"]):
-                (queries, a), (items, b) = matrix(qi, qv), matrix(di, dv)
-                sims = a @ b.T
-                for i in range(0, len(queries), 64):
-                    s = sims[i : i + 64]
-                    if k is None or k >= len(items):
-                        row, col = np.divmod(np.arange(s.size), len(items))
-                    else:
-                        edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                        row, col = np.nonzero(s >= edge[:, None])
-                    columns = [queries[i + row], items[col], s[row, col]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "image_id", "sim"])
+            for q, d in zip(batch["q_rows"], batch["d_rows"]):
+                (queries, a), (items, b) = ((x.values.field("id").to_numpy(), dense(x.values.field("vec"))) for x in (q, d))
+                yield from _emit(queries, a, items, b, k)
 
     return run
 
 
-def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block: int = 4096, query_block: int = 256) -> DataFrame:
+def blocks(rows: DataFrame, count: int, size: int, name: str) -> tuple[DataFrame, int]:
+    number = 1 + count // size
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("id"), F.lit(number)))
+    return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows")), number
+
+
+def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block: int = 4096, query_block: int = 4096, small: int = SMALL) -> DataFrame:
     """``(query_id, image_id, sim)`` for ``(id, vec)`` rows of equal width."""
-    flat = lambda df: df.select(F.col("id").cast("long").alias("id"), doubles(F.col("vec")).alias("vec"))
-    d, count = blocks(flat(database), block, "d")
-    q, _ = blocks(flat(queries), query_block, "q")
-    q = q.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
-    pairs = q.join(d, "d").select("q_ids", "q_values", "d_ids", "d_values")
-    return pairs.mapInArrow(_score(k), "query_id long, image_id long, sim double")
+    flat = lambda df: whole(df.select(F.col("id").cast("long").alias("id"), doubles(F.col("vec")).alias("vec")))
+    q, d = flat(queries), flat(database)
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("w")).first()
+    if size["n"] * size["w"] <= small:
+        held = q.toArrow().combine_chunks()
+        ids = held["id"].to_numpy()
+        vectors = dense(held["vec"].combine_chunks()) if len(ids) else np.zeros((0, 1))
+        return d.mapInArrow(_beside(ids, vectors, k), SCORES)
+    d, number = blocks(d, d.count(), block, "d")
+    q, _ = blocks(q, size["n"], query_block, "q")
+    q = q.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))))
+    return q.join(d, "d").select("q_rows", "d_rows").mapInArrow(_between(k), SCORES)
 
 
 def rank(queries: DataFrame, database: DataFrame, k: int | None = None) -> DataFrame:
@@ -62,18 +103,21 @@ def rank(queries: DataFrame, database: DataFrame, k: int | None = None) -> DataF
     return out if k is None else out.filter(F.col("rank") < k)
 
 
-def nearest(points: DataFrame, centers: np.ndarray, vec: str = "vec", out: str = "word") -> DataFrame:
-    """The index of the nearest centre, ties to the lowest. ``centers`` is a model: its size is k times d."""
+def nearest_words(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     half = (centers**2).sum(1)
+    parts = [np.argmin(half - 2 * (x[part] @ centers.T), axis=1) for part in slabs(len(x), len(centers))]
+    return np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+
+
+def nearest(points: DataFrame, centers: np.ndarray, vec: str = "vec", out: str = "word") -> DataFrame:
+    """The index of the nearest centre, ties to the lowest; points without a whole vector go. ``centers`` is a model: its size is k times d."""
     names = points.columns
 
     def run(batches):
         for batch in batches:
-            x = batch[vec].values.to_numpy().reshape(len(batch), -1) if len(batch) else np.zeros((0, centers.shape[1]))
-            word = np.argmin(half - 2 * (x @ centers.T), axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word)], [*names, out])
+            if len(batch):
+                word = nearest_words(dense(batch[vec]), centers)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(word)], [*names, out])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
-    return points.mapInArrow(run, f"{schema}, {out} int")
-
-
+    return whole(points, vec).mapInArrow(run, f"{schema}, {out} int")
