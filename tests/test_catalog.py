@@ -5,7 +5,7 @@ import os
 import pytest
 
 duckdb = pytest.importorskip("duckdb")
-from vecsieve.plans import catalog  # noqa: E402
+from vecsieve.plans import catalog, catalog_more  # noqa: E402, F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")

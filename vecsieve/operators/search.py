@@ -96,6 +96,14 @@ def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block:
     return q.join(d, "d").select("q_rows", "d_rows").mapInArrow(_between(k), SCORES)
 
 
+def pairs(queries: DataFrame, database: DataFrame, block: int = 65536) -> DataFrame:
+    """``(query_id, image_id)``: every id of the stated queries with every id of the database, by an equi-join on blocks of the latter."""
+    number = 1 + database.count() // block
+    d = database.select(F.col("id").alias("image_id"), F.pmod(F.xxhash64("id"), F.lit(number)).alias("_b"))
+    q = queries.select(F.col("id").alias("query_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))).alias("_b"))
+    return q.join(d, "_b").drop("_b")
+
+
 def rank(queries: DataFrame, database: DataFrame, k: int | None = None) -> DataFrame:
     """``(query_id, image_id, sim, rank)`` from rank 0; every database row, or the k best."""
     order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "image_id")

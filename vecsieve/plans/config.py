@@ -7,8 +7,11 @@ from typing import ClassVar
 
 # The two datasets are each other's held-out data.
 HELD_OUT = {"roxford5k": "rparis6k", "rparis6k": "roxford5k"}
+# Images and queries of each.
 SIZES = {"roxford5k": (4993, 70), "rparis6k": (6322, 70)}
+# The scales of multi-scale descriptors.
 SCALES = (1.0, 2**-0.5, 0.5)
+SOURCES = ("held_out", "sfm30k", "sfm120k", "learned")
 
 
 @dataclass(frozen=True)
@@ -57,16 +60,17 @@ class Fisher:
 
 @dataclass(frozen=True)
 class NeuralCodes:
-    backbone: str = "vgg16"
+    backbone: str = "alexnet"
     dim: int | None = 256
     seed: int = 0
     technique: ClassVar[str] = "neural_codes"
     axis: ClassVar[str | None] = "dim"
 
 
+# The defaults of the fields below.
 @dataclass(frozen=True)
 class Pooled:
-    backbone: str = "resnet101"
+    backbone: str = "alexnet"
     p: float | str | None = 3.0
     max_side: int = 1024
     scales: tuple[float, ...] = (1.0,)
@@ -74,7 +78,7 @@ class Pooled:
     weights: str = "torchvision"
     last_pool: bool = True
     checkpoint: str | None = None
-    whiten: bool | str = False
+    whiten: bool = False
     whiten_source: str = "held_out"
     shrinkage: float = 0.0
     seed: int = 0
@@ -82,48 +86,64 @@ class Pooled:
     axis: ClassVar[str | None] = "dim"
 
     def __post_init__(self):
-        tuned = self.weights == "sfm120k" or self.checkpoint is not None
-        if self.p == "learned" and not tuned:
-            raise ValueError("a learned exponent needs fine-tuned weights")
-        if self.whiten == "learned" and not tuned:
-            raise ValueError("learned whitening needs fine-tuned weights")
-        if self.whiten is True and self.dim is None:
-            raise ValueError("whitening needs dim")
-        if self.shrinkage < 0 or (self.shrinkage and not self.whiten):
-            raise ValueError("shrinkage is for whitening and not negative")
-        if not self.scales:
-            raise ValueError("there must be a scale")
+        tuned, learned = self.weights == "sfm120k", self.whiten_source == "learned"
+        rules = {
+            "a learned exponent and fine-tuned weights go together": (self.p == "learned") == tuned,
+            "a checkpoint needs fine-tuned weights": tuned or self.checkpoint is None,
+            "learned whitening needs fine-tuned weights": tuned or not learned,
+            "learned whitening needs whiten": self.whiten or not learned,
+            "learned whitening takes no shrinkage": not (learned and self.shrinkage),
+            "shrinkage is not negative": self.shrinkage >= 0,
+            "there must be a scale": bool(self.scales),
+            f"the source is one of {SOURCES}": self.whiten_source in SOURCES,
+        }
+        if broken := [rule for rule, holds in rules.items() if not holds]:
+            raise ValueError("; ".join(broken))
 
 
 @dataclass(frozen=True)
-class Rmac(Pooled):
+class Rmac:
+    backbone: str = "alexnet"
     levels: int = 3
+    max_side: int = 1024
+    scales: tuple[float, ...] = (1.0,)
+    dim: int | None = None
+    weights: str = "torchvision"
+    last_pool: bool = True
+    whiten: bool = False
+    whiten_source: str = "held_out"
+    shrinkage: float = 0.0
+    seed: int = 0
     technique: ClassVar[str] = "rmac"
+    axis: ClassVar[str | None] = "dim"
 
     def __post_init__(self):
-        super().__post_init__()
-        if self.weights == "sfm120k" or self.whiten == "learned":
+        if self.weights == "sfm120k" or self.whiten_source == "learned":
             raise ValueError("regional pooling has no fine-tuned weights")
 
 
 @dataclass(frozen=True)
 class Vit:
-    model: str = "dinov2-s"
+    model: str = "dinov2-vitl14"
     image_size: int = 224
     resize: str = "pad"
     interpolation: str = "bicubic"
-    readout: str = "cls"
-    p: float = 3.0
+    readout: str = "native"
+    p: float | None = None
     dim: int | None = None
     whiten: bool = False
+    whiten_source: str = "held_out"
+    shrinkage: float = 0.0
+    seed: int = 0
+    checkpoint: str | None = None
     technique: ClassVar[str] = "vit"
     axis: ClassVar[str | None] = None
 
     def __post_init__(self):
-        if self.readout not in ("cls", "mean", "gem"):
+        if self.readout not in ("native", "mean", "gem"):
             raise ValueError(f"no read-out {self.readout}")
-        if self.whiten and self.dim is None:
-            raise ValueError("whitening needs dim")
+        if self.whiten_source == "learned":
+            raise ValueError("no learned whitening for transformers")
 
 
 Descriptor = Bow | Vlad | Fisher | NeuralCodes | Pooled | Rmac | Vit
@@ -144,6 +164,19 @@ def params(descriptor: Descriptor) -> dict:
     return asdict(descriptor)
 
 
+def descriptor_dim(descriptor: Descriptor) -> int:
+    """Length of the encoded vector: that of the projection if set, else the descriptor's own."""
+    from ..sources.runlog import CHANNELS, VIT_WIDTHS
+
+    if isinstance(descriptor, Bow | Vlad | Fisher):
+        return descriptor.k * {"bow": 1, "vlad": 128, "fisher": 256}[descriptor.technique]
+    if descriptor.dim is not None:
+        return descriptor.dim
+    if isinstance(descriptor, NeuralCodes):
+        return 4096
+    return VIT_WIDTHS[descriptor.model] if isinstance(descriptor, Vit) else CHANNELS[descriptor.backbone]
+
+
 def sweep(run: Run, values: tuple[int, ...]) -> list[Run]:
     """One run per value of the technique's axis; the run itself without values."""
     if not values:
@@ -154,18 +187,19 @@ def sweep(run: Run, values: tuple[int, ...]) -> list[Run]:
     return [replace(run, descriptor=replace(run.descriptor, **{axis: v})) for v in values]
 
 
+# The named configurations.
 _caffe = {"weights": "caffe", "scales": SCALES, "whiten": True}
-_tuned = {"weights": "sfm120k", "scales": SCALES, "whiten": "learned", "p": "learned"}
+_tuned = {"weights": "sfm120k", "scales": SCALES, "whiten": True, "whiten_source": "learned", "p": "learned"}
 PRESETS: dict[str, Descriptor] = {
     "bow-best": Bow(k=50000),
     "vlad-best": Vlad(k=4096),
     "fisher-best": Fisher(k=256),
-    "neural-codes-vgg16": NeuralCodes(dim=None),
-    "gem-r101": Pooled(dim=2048, **_caffe),
+    "neural-codes-vgg16": NeuralCodes(backbone="vgg16", dim=None),
+    "gem-r101": Pooled(backbone="resnet101", dim=2048, **_caffe),
     "gem-vgg16": Pooled(backbone="vgg16", dim=512, last_pool=False, **_caffe),
-    "rmac-r101": Rmac(dim=2048, **_caffe),
-    "gem-ft-r101": Pooled(**_tuned),
-    "gem-ft-vgg16": Pooled(backbone="vgg16", **_tuned),
+    "rmac-r101": Rmac(backbone="resnet101", dim=2048, **_caffe),
+    "gem-ft-r101": Pooled(backbone="resnet101", **_tuned),
+    "gem-ft-vgg16": Pooled(backbone="vgg16", last_pool=False, **_tuned),
 }
 
 

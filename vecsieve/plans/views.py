@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.encode import Mixture
+from ..sources.tables import Store
 from .config import Bow, Fisher, Run, Vlad
 
 WIDTH, PARTS = 8, 8
+MODELS = ("dinov2-vits14", "deit-vitb16-dist-224", "siglip2-vitl16-384")
+CHECKPOINT = "runs/deit-vitb16-dist-224-lr1e-05-lora8-seed0/best.pth"
 
 
 class Views:
@@ -47,6 +50,36 @@ class Views:
         half = long.filter("x % 2 = 0 and y % 2 = 0")
         return long.withColumn("scale", F.lit(0)).unionByName(half.withColumn("scale", F.lit(1)))
 
+    @property
+    def wide_cells(self) -> DataFrame:
+        """``(image_id, c, y, x, v)``: 4 channels of 2 rows by 8 columns."""
+        long = self.every.select(F.col("id").alias("image_id"), F.posexplode("vec").alias("i", "v"))
+        return long.select("image_id", F.floor(F.col("i") / 16).alias("c"), F.floor(F.col("i") % 16 / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), "v")
+
+    @property
+    def tokens(self) -> DataFrame:
+        """``(image_id, pos, dim, v)``: 8 tokens of 8 values."""
+        long = self.every.select(F.col("id").alias("image_id"), F.posexplode("vec").alias("i", "v"))
+        return long.select("image_id", F.floor(F.col("i") / 8).alias("pos"), (F.col("i") % 8).cast("long").alias("dim"), "v")
+
+    @property
+    def records(self) -> DataFrame:
+        """``events`` as run records with ``seq``, the columns of the run log's schema."""
+        n, v = F.col("event_id"), F.col("value")
+        pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+        text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+        vit = text('{"model": "', pick(MODELS, n), '", "image_size": ', F.when(n % 4 == 0, 518).otherwise(224), ', "whiten": ', F.when(n % 6 == 0, "true").otherwise("false"), F.when(n % 7 == 0, f', "checkpoint": "{CHECKPOINT}"').otherwise(""), "}")
+        gem = text('{"backbone": "', pick(("vgg16", "resnet101"), n), '", "scales": [1.0, 0.7071067811865476], "p": 3.0, "lr": 5e-07}')
+        plain = text('{"seed": 0, "k": ', F.get_json_object("props", "$.k"), "}")
+        technique = pick(("bow", "vlad", "fisher", "gem", "vit"), n)
+        metric = lambda share: F.struct((v * share).alias("map"), v.alias("mp_at_k"), F.lit(10).alias("k"), F.lit(70).alias("num_queries"), F.lit(0).alias("num_excluded"))
+        even = F.col("user_id") % 2 == 0
+        return self.table("events").select(
+            n.alias("seq"), F.when(even, "roxford5k").otherwise("rparis6k").alias("dataset"), F.when(even, "rparis6k").otherwise("roxford5k").alias("held_out_dataset"), technique.alias("technique"),
+            F.when(technique == "vit", vit).when(technique == "gem", gem).otherwise(plain).alias("params"), F.create_map(F.lit("medium"), metric(0.75), F.lit("hard"), metric(0.5), F.lit("easy"), metric(1.0)).alias("metrics"),
+            F.when(n % 2 == 0, v).alias("seconds"), text("c", n % 3).alias("commit"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("recorded_at"),
+        )
+
     def _groups(self) -> list:
         held = self.local(self.every.filter("id % 2 = 1")).select("label", "image_id", "kp", F.posexplode("vec").alias("dim", "x"))
         mean = held.groupBy("label", "dim").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("n"))
@@ -65,11 +98,18 @@ class Views:
         return Mixture(n / n.sum(), shape("m"), shape("v"))
 
 
-def inputs(spark: SparkSession, folder: str, run: Run):
-    """Inputs of a run from an embeddings table: odd ids are held out."""
+def inputs(spark: SparkSession, folder: str, run: Run, store: Store | None = None, learned: dict | None = None):
+    """Inputs of a run from an embeddings table: odd ids are held out. With a store, local descriptors are made once per dataset and role."""
     from .runner import Inputs
 
     v = Views(spark, folder)
+    local = isinstance(run.descriptor, Bow | Vlad | Fisher)
+
+    def pick(rows: DataFrame, role: str) -> DataFrame:
+        if not local:
+            return rows
+        make = lambda: v.local(rows)
+        return make() if store is None else store.get("rootsift", make, dataset=run.dataset, role=role)
+
     held = v.every.filter("id % 2 = 1")
-    pick = v.local if isinstance(run.descriptor, Bow | Vlad | Fisher) else (lambda rows: rows)
-    return Inputs(pick(held), pick(v.database), pick(v.queries), v.database.select("id"), v.queries.select("id"), v.truth)
+    return Inputs(pick(held, "held_out"), pick(v.database, "database"), pick(v.queries, "queries"), v.database.select("id"), v.queries.select("id"), v.truth, learned)

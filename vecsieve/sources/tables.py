@@ -34,15 +34,28 @@ def unverified(digests: DataFrame, pins: DataFrame) -> DataFrame:
     return digests.join(pins.withColumnRenamed("sha256", "pinned"), "path", "left").filter("pinned is null or pinned != sha256")
 
 
-def key_differences(expected: DataFrame, found: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
-    """``(key, problem)``: keys missing, but for allowed endings, and keys unexpected."""
+def key_differences(expected: DataFrame, found: DataFrame, allowed: tuple[str, ...] = (), prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """``(key, problem)``: keys missing, but for allowed endings and prefixes, and keys unexpected."""
     gone = expected.select("key").exceptAll(found.select("key"))
     for suffix in allowed:
         gone = gone.filter(~F.col("key").endswith(suffix))
+    for prefix in prefixes:
+        gone = gone.filter(~F.col("key").startswith(prefix))
     extra = found.select("key").exceptAll(expected.select("key"))
     return gone.withColumn("problem", F.lit("missing")).unionByName(extra.withColumn("problem", F.lit("unexpected")))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def found(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 class Store:
     """Tables kept under a key; a table is made once, and a hit does not touch its inputs."""
 
@@ -52,13 +65,9 @@ class Store:
     def path(self, kind: str, **key: object) -> str:
         return "/".join([self.root, kind, *(f"{k}={v}" for k, v in sorted(key.items()))])
 
-    def _exists(self, path: str) -> bool:
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
     def get(self, kind: str, make: Callable[[], DataFrame], **key: object) -> DataFrame:
         path = self.path(kind, **key)
-        if not self._exists(path):
+        if not exists(self.spark, path):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
