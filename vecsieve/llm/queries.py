@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat import format_chats, read_back
 from .fm_index import fm_index_dedup
 from .jaccard import ngram_jaccard_join
@@ -72,6 +73,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_suffix_array, op2_topk, op3_packing, op4_quality, op5_mixing, op6_secrets, op7_chat, op8_toxicity, op9_fm_index, op10_ngram_join)}
 
 ORACLE = {
+    "op1_suffix_array": oracles.OP1,
+    "op4_quality": oracles.OP4,
+    "op5_mixing": oracles.OP5,
+    "op7_chat": oracles.OP7,
+    "op9_fm_index": oracles.OP9,
+    "op10_ngram_join": oracles.OP10,
     "op2_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS w FROM embeddings
