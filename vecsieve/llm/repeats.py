@@ -33,6 +33,7 @@ PIECE = "h long, c long, n long, uid long, p int, w int, body binary"
 RANGES = "array<struct<a:int,k:int,own:boolean>>"
 FOUND = f"h long, c long, n long, uid long, p int, ranges {RANGES}"
 DIGITS = 4
+BESIDE = 200_000  # rows of some 40 bytes
 
 
 @dataclass(frozen=True)
@@ -149,9 +150,11 @@ def spread_join(cuts: Cuts, rows: DataFrame, keyed_rows: DataFrame, keys: list[s
 
 def _digit_passes(cuts: Cuts, windows: DataFrame, keep_first: bool) -> DataFrame:
     """Windows of crowded anchors that repeat, by passes over their digits; ``FOUND`` rows."""
-    rows = windows.withColumn("g", F.col("h"))
+    rows, held = windows.withColumn("g", F.col("h")), []
     for d in range(DIGITS):
-        rows = cuts.cut(rows.withColumn("g", F.xxhash64("g", f"d{d}")).drop(f"d{d}"))
+        after = cuts.cut(rows.withColumn("g", F.xxhash64("g", f"d{d}")).drop(f"d{d}"))
+        cuts.drop(*held)
+        rows, held = after, [after]
         place = F.struct("uid", (F.col("p") + F.col("i")).alias("at"))
         groups = rows.groupBy("g").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("times"), F.min(place).alias("first")).filter("times > 1")
         last = d == DIGITS - 1
@@ -170,27 +173,33 @@ def repeated(cuts: Cuts, docs: DataFrame, spec: Windows, resolve: Callable[[pa.T
     A range that is ``own`` is the window's first occurrence: it stays there.
     """
     every = cuts.cut(docs.select("uid", "text").mapInArrow(_anchor_rows(spec), ANCHOR))
+    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = cuts.cut(spread_join(cuts, every, often, ["h"], "n").drop("n"))
+    cuts.drop(every)
     first = F.min(F.struct("uid", "p", "w")).alias("first")
-    kinds = cuts.cut(every.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), first).select("h", "c", "n", "first.*"))
-    often = kinds.groupBy("h").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("kinds")).filter("times > 1").drop("times")
-    ship = cuts.cut(spread_join(cuts, kinds, often, ["h"], "kinds"))
-    wants = ship.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "n", "p", "w")).alias("wants"))
-    pieces = docs.select("uid", "text").filter("uid is not null").join(wants, "uid").mapInArrow(_piece_rows(spec), PIECE)
-    crowds = cuts.cut(ship.filter(F.col("kinds") > spec.group_limit).select("h").distinct())
-    crowded = not crowds.isEmpty()
-    light = pieces.join(crowds, "h", "left_anti") if crowded else pieces
+    kinds = cuts.cut(again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), first).select("h", "c", "n", "first.*"))
+    ship = cuts.cut(spread_join(cuts, kinds, kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), ["h"], "kinds"))
+    texts = docs.select("uid", "text").filter("uid is not null")
+
+    def pieces(rows: DataFrame, beside: bool) -> DataFrame:
+        wants = rows.groupBy("uid").agg(F.collect_list(F.struct("h", "c", "n", "p", "w")).alias("wants"))
+        return texts.join(F.broadcast(wants) if beside else wants, "uid").mapInArrow(_piece_rows(spec), PIECE)
+
     buckets = 1 + ship.count() // spec.bucket_rows
-    found = light.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(resolve, FOUND)
-    if crowded:
+    light = pieces(ship.filter(F.col("kinds") <= spec.group_limit), False).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
+    found = light.groupBy("bucket").applyInArrow(resolve, FOUND)
+    crowd = ship.filter(F.col("kinds") > spec.group_limit)
+    if crowded := crowd.count():
         digits = ", ".join(f"d{d} long" for d in range(DIGITS))
-        windows = pieces.join(crowds, "h", "left_semi").mapInArrow(_window_rows(spec), f"h long, c long, n long, uid long, p long, i int, {digits}")
+        # few of them go to the texts; more meet these by their hash
+        windows = pieces(crowd, crowded <= BESIDE).mapInArrow(_window_rows(spec), f"h long, c long, n long, uid long, p long, i int, {digits}")
         found = found.unionByName(_digit_passes(cuts, windows, spec.keep_first).withColumn("p", F.col("p").cast("int")))
     found = cuts.cut(found)
     cuts.drop(kinds, ship)
     here = found.select("uid", "p", F.explode("ranges").alias("r"))
     here = here.filter("not r.own") if spec.keep_first else here
     others = found.filter("n > 1").select("h", "c", "n", F.col("uid").alias("uid0"), F.col("p").alias("p0"), "ranges")
-    there = spread_join(cuts, every, others, ["h", "c"], "n").filter("uid != uid0 or p != p0").select("uid", "p", F.explode("ranges").alias("r"))
+    there = spread_join(cuts, again, others, ["h", "c"], "n").filter("uid != uid0 or p != p0").select("uid", "p", F.explode("ranges").alias("r"))
     return here.unionByName(there).select("uid", (F.col("p") + F.col("r.a")).alias("p"), F.col("r.k").alias("w"))
 
 
