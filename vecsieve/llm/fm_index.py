@@ -135,8 +135,7 @@ def _resolver(window: int):
     def resolve(table: pa.Table) -> pa.Table:
         table = table.take(pa.array(np.lexsort((table["p"].to_numpy(), table["uid"].to_numpy()))))
         times, w = (table[k].to_numpy().astype(np.int64) for k in ("n", "w"))
-        parts = [np.frombuffer(x, np.uint64) for x in table["body"].to_pylist()]
-        names, code = np.unique(np.concatenate(parts), return_inverse=True)
+        names, code = np.unique(A.Words(table["body"].to_pylist()).hashes(), return_inverse=True)
         index = FMIndex(code, w + window - 1, times, len(names))
         owner = np.repeat(np.arange(len(w)), w)
         inside = np.arange(len(owner)) - np.repeat(np.cumsum(w) - w, w)

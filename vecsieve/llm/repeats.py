@@ -61,6 +61,11 @@ def symbols(texts: list[bytes], words: bool) -> tuple[np.ndarray, np.ndarray]:
     return A.BYTE_CODE[np.frombuffer(b"".join(texts), np.uint8)], np.concatenate([[0], np.cumsum(lengths)])
 
 
+def short_words(text: bytes) -> list[bytes]:
+    """Words of a text; of those longer than 64 bytes the fingerprint, so that no piece grows with them."""
+    return [x if len(x) <= 64 else b"\0%016x" % A.Words([x]).hashes()[0] for x in text.split()]
+
+
 def _anchor_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for batch in batches:
@@ -88,10 +93,10 @@ def _piece_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
         for batch in batches:
             out = [[], [], [], [], [], [], []]
             for uid, text, wants in zip(batch["uid"].to_pylist(), bodies(batch["text"]), batch["wants"].to_pylist()):
-                source = A.Words([text]).hashes() if spec.words else text
+                source = short_words(text) if spec.words else text
                 for x in wants:
                     body = source[x["p"] : x["p"] + x["w"] + extra]
-                    for column, v in zip(out, (x["h"], x["c"], x["n"], uid, x["p"], x["w"], body.tobytes() if spec.words else body)):
+                    for column, v in zip(out, (x["h"], x["c"], x["n"], uid, x["p"], x["w"], b" ".join(body) if spec.words else body)):
                         column.append(v)
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["h", "c", "n", "uid", "p", "w", "body"])
@@ -100,17 +105,17 @@ def _piece_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def _window_rows(spec: Windows) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each window of a piece with its digits."""
+    """Each window of a piece with its digits; the anchor is its first group."""
     step = -(-spec.length // DIGITS)
 
     def run(batches):
         for batch in batches:
-            for h, c, n, uid, p, w, body in zip(*(batch[k].to_pylist() for k in ("h", "c", "n", "uid", "p", "w", "body"))):
-                roll = A.Rolling(np.frombuffer(body, np.uint64) if spec.words else A.BYTE_CODE[np.frombuffer(body, np.uint8)])
+            for h, n, uid, p, w, body in zip(*(batch[k].to_pylist() for k in ("h", "n", "uid", "p", "w", "body"))):
+                roll = A.Rolling(symbols([body], spec.words)[0])
                 at = np.arange(w)
-                columns = [np.full(w, x, np.int64) for x in (h, c, n, uid, p)] + [at.astype(np.int32)]
+                columns = [np.full(w, x, np.int64) for x in (h, n, uid, p)] + [at.astype(np.int32)]
                 columns += [roll.of(at + min(d * step, spec.length), at + min((d + 1) * step, spec.length)).view(np.int64) for d in range(DIGITS)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["h", "c", "n", "uid", "p", "i", *(f"d{d}" for d in range(DIGITS))])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["g", "n", "uid", "p", "i", *(f"d{d}" for d in range(DIGITS))])
 
     return run
 
@@ -137,6 +142,7 @@ def spread_join(cuts: Cuts, rows: DataFrame, keyed_rows: DataFrame, keys: list[s
     their rows go anywhere; the others meet by their hash.
     """
     table = cuts.cut(keyed_rows)
+    cuts.drop()
     values = [c for c in table.columns if c not in keys]
     total = table.agg(F.sum(count)).first()[0] or 0
     hot = table.filter(F.col(count) * parts > total + 1000 * parts)
@@ -148,9 +154,9 @@ def spread_join(cuts: Cuts, rows: DataFrame, keyed_rows: DataFrame, keys: list[s
     return met.select(*rows.columns, *[F.col(f"_got.{c}").alias(c) for c in values])
 
 
-def _digit_passes(cuts: Cuts, windows: DataFrame, keep_first: bool) -> DataFrame:
-    """Windows of crowded anchors that repeat, by passes over their digits; ``FOUND`` rows."""
-    rows, held = windows.withColumn("g", F.col("h")), []
+def _digit_passes(cuts: Cuts, windows: DataFrame, pieces: DataFrame, keep_first: bool) -> DataFrame:
+    """Windows of crowded ``pieces`` that repeat, by passes over their digits; ``FOUND`` rows."""
+    rows, held = windows, []
     for d in range(DIGITS):
         after = cuts.cut(rows.withColumn("g", F.xxhash64("g", f"d{d}")).drop(f"d{d}"))
         cuts.drop(*held)
@@ -163,7 +169,9 @@ def _digit_passes(cuts: Cuts, windows: DataFrame, keep_first: bool) -> DataFrame
     own = (F.col("first.uid") == F.col("uid")) & (F.col("first.at") == F.col("p") + F.col("i")) if keep_first else F.lit(False)
     rows = rows.withColumn("own", own).filter(~F.col("own") | (F.col("n") > 1))
     one = F.struct(F.col("i").alias("a"), F.lit(1).alias("k"), "own")
-    return rows.groupBy("h", "c", "n", "uid", "p").agg(F.collect_list(one).alias("ranges"))
+    ranges = cuts.cut(rows.groupBy("uid", F.col("p").cast("int").alias("p")).agg(F.collect_list(one).alias("ranges")))
+    cuts.drop(*held)
+    return pieces.join(ranges, ["uid", "p"]).select("h", "c", "n", "uid", "p", "ranges")
 
 
 def repeated(cuts: Cuts, docs: DataFrame, spec: Windows, resolve: Callable[[pa.Table], pa.Table]) -> DataFrame:
@@ -172,13 +180,14 @@ def repeated(cuts: Cuts, docs: DataFrame, spec: Windows, resolve: Callable[[pa.T
     ``resolve`` gets pieces, all of an anchor together, and returns ``FOUND`` rows for them.
     A range that is ``own`` is the window's first occurrence: it stays there.
     """
-    every = cuts.cut(docs.select("uid", "text").mapInArrow(_anchor_rows(spec), ANCHOR))
+    every = docs.select("uid", "text").mapInArrow(_anchor_rows(spec), ANCHOR)  # made twice: as a table it takes most of the texts' size
     often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = cuts.cut(spread_join(cuts, every, often, ["h"], "n").drop("n"))
-    cuts.drop(every)
+    cuts.drop()
     first = F.min(F.struct("uid", "p", "w")).alias("first")
     kinds = cuts.cut(again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), first).select("h", "c", "n", "first.*"))
     ship = cuts.cut(spread_join(cuts, kinds, kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")), ["h"], "kinds"))
+    cuts.drop(kinds)
     texts = docs.select("uid", "text").filter("uid is not null")
 
     def pieces(rows: DataFrame, beside: bool) -> DataFrame:
@@ -186,21 +195,25 @@ def repeated(cuts: Cuts, docs: DataFrame, spec: Windows, resolve: Callable[[pa.T
         return texts.join(F.broadcast(wants) if beside else wants, "uid").mapInArrow(_piece_rows(spec), PIECE)
 
     buckets = 1 + ship.count() // spec.bucket_rows
-    light = pieces(ship.filter(F.col("kinds") <= spec.group_limit), False).withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets)))
-    found = light.groupBy("bucket").applyInArrow(resolve, FOUND)
     crowd = ship.filter(F.col("kinds") > spec.group_limit)
+    passed = None
     if crowded := crowd.count():
         digits = ", ".join(f"d{d} long" for d in range(DIGITS))
         # few of them go to the texts; more meet these by their hash
-        windows = pieces(crowd, crowded <= BESIDE).mapInArrow(_window_rows(spec), f"h long, c long, n long, uid long, p long, i int, {digits}")
-        found = found.unionByName(_digit_passes(cuts, windows, spec.keep_first).withColumn("p", F.col("p").cast("int")))
-    found = cuts.cut(found)
-    cuts.drop(kinds, ship)
+        windows = pieces(crowd, crowded <= BESIDE).mapInArrow(_window_rows(spec), f"g long, n long, uid long, p long, i int, {digits}")
+        passed = _digit_passes(cuts, windows, crowd, spec.keep_first)
+    light = cuts.cut(pieces(ship.filter(F.col("kinds") <= spec.group_limit), False))
+    cuts.drop()
+    found = light.withColumn("bucket", F.pmod(F.col("h"), F.lit(buckets))).groupBy("bucket").applyInArrow(resolve, FOUND)
+    found = cuts.cut(found.unionByName(passed) if passed is not None else found)
+    cuts.drop(ship, light)
     here = found.select("uid", "p", F.explode("ranges").alias("r"))
     here = here.filter("not r.own") if spec.keep_first else here
     others = found.filter("n > 1").select("h", "c", "n", F.col("uid").alias("uid0"), F.col("p").alias("p0"), "ranges")
     there = spread_join(cuts, again, others, ["h", "c"], "n").filter("uid != uid0 or p != p0").select("uid", "p", F.explode("ranges").alias("r"))
-    return here.unionByName(there).select("uid", (F.col("p") + F.col("r.a")).alias("p"), F.col("r.k").alias("w"))
+    ranges = cuts.cut(here.unionByName(there).select("uid", (F.col("p") + F.col("r.a")).alias("p"), F.col("r.k").alias("w")))
+    cuts.drop(again, found)
+    return ranges
 
 
 def with_ranges(docs: DataFrame, found: DataFrame) -> DataFrame:

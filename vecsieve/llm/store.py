@@ -8,6 +8,7 @@ running tasks.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -37,7 +38,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 class Cuts:
-    """Tables written to cut lineage. ``drop`` removes one that no later plan reads."""
+    """Tables written to cut lineage.
+
+    ``drop`` removes those that no later plan reads. Spark deletes the shuffle files of a
+    finished plan when the driver collects its garbage, so ``drop`` asks for that as well.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -57,6 +62,8 @@ class Cuts:
         for held, path in self.paths:
             if any(held is df for df in frames):
                 _delete(self.spark, path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _sweep(self) -> None:
         try:
