@@ -93,3 +93,12 @@ def test_label_bound_holds_for_repeated_ids(spark):
     few = toxicity(docs(spark, rows), labels, most_labels=20).collect()
     assert len(few) == 200 and all(0 <= r["score"] <= 1 for r in few)
     assert letter_model(docs(spark, rows)).logp.shape == (64, 64, 64)
+
+
+def test_pieces_do_not_grow_with_words():
+    from vecsieve.llm.repeats import short_words
+
+    long = b"x" * 65
+    got = short_words(b"a  " + long + b"\t" + b"y" * 64 + b" " + long + b"x")
+    assert got[0] == b"a" and got[2] == b"y" * 64
+    assert got[1] == short_words(long)[0] != got[3] and len(got[1]) == len(got[3]) == 17
