@@ -1,25 +1,31 @@
 """Exact search: rank all database vectors for every query.
 
-A query set of up to ``SMALL`` values, by count, goes to where the database rows are, which
-then do not move. Larger sets are packed into blocks of fixed size, as the database is, that
-meet over an equi-join on the block number; one matrix product scores a pair of blocks. Ranks
-come from a window, ties to the smaller id. With ``k`` a block sends its k best only. Rows
+``against`` deals the queries into blocks of bounded size. Each block meets the whole
+database in one task, which keeps it in an unnamed local file, scores some queries at a
+time and hands one query's scores after the other to a visitor; what leaves the task is
+what the visitor makes of them (ranks, the k best, metrics), so no pair of a query and a
+row is shuffled. Ties go to the smaller id. ``scores`` gives the pairs themselves. Rows
 whose vector is null or holds a null take no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles
 
 SMALL = 1 << 22
 CELLS = 1 << 22
+# values of a block of queries, of a database kept in memory, and scores at a time
+QUERY_VALUES, HELD_VALUES, HELD_SCORES = 1 << 20, 1 << 23, 1 << 22
+TILE = 16
+NONE = np.iinfo(np.int64).min
 
 
 def whole(rows: DataFrame, vec: str = "vec") -> DataFrame:
@@ -93,7 +99,7 @@ def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block:
     d, number = blocks(d, d.count(), block, "d")
     q, _ = blocks(q, size["n"], query_block, "q")
     q = q.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))))
-    return q.join(d, "d").select("q_rows", "d_rows").mapInArrow(_between(k), SCORES)
+    return q.join(d.hint("merge"), "d").select("q_rows", "d_rows").mapInArrow(_between(k), SCORES)
 
 
 def pairs(queries: DataFrame, database: DataFrame, block: int = 65536) -> DataFrame:
@@ -104,11 +110,149 @@ def pairs(queries: DataFrame, database: DataFrame, block: int = 65536) -> DataFr
     return q.join(d, "_b").drop("_b")
 
 
+def descending(s: np.ndarray) -> np.ndarray:
+    """Places from the highest score to the lowest, ties in their order; NaN is highest."""
+    order = np.argsort(-s, kind="stable")
+    nan = np.isnan(s[order])
+    return np.concatenate([order[nan], order[~nan]]) if nan.any() else order
+
+
+def best(s: np.ndarray, k: int) -> np.ndarray:
+    """The first k of ``descending``."""
+    if k >= len(s) or np.isnan(s).any():
+        return descending(s)[:k]
+    at = np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+    return at[descending(s[at])][:k]
+
+
+def places(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of the scores at ``at``, as by ``descending``; only if one of them is tied are all put in order."""
+    line = np.sort(s)
+    up = np.argsort(s[at])
+    end = np.searchsorted(line, s[at][up], "right")
+    out = np.empty(len(at), np.int64)
+    out[up] = len(s) - end
+    if len(at) and (np.isnan(line[-1]) or ((end > 1) & (line[end - 2] == s[at][up])).any()):
+        rank = np.empty(len(s), np.int64)
+        rank[descending(s)] = np.arange(len(s))
+        return rank[at]
+    return out
+
+
+def _tiled(rows: int) -> int:
+    return -(-rows // TILE) * TILE
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of a with those of b, which fill whole tiles: equal rows then have equal products wherever they stand."""
+    if len(a) % TILE:
+        a = np.concatenate([a, np.zeros((_tiled(len(a)) - len(a), a.shape[1]))])
+    return a @ b.T
+
+
+def _gathered(batches: Iterable[pa.RecordBatch]) -> tuple:
+    """Queries and database of a task, ``(ids, marks, vectors, absent ids, absent marks)`` each, by id; vectors of the database fill whole tiles, in a file without a name if they are many."""
+    sides = {True: ([], [], [], [], []), False: ([], [], [], [], [])}
+    with tempfile.TemporaryFile() as file:
+        width = 0
+        for batch in batches:
+            asked, there = (x.to_numpy(zero_copy_only=False) for x in (batch["_q"], batch["vec"].is_valid()))
+            ids, marks = batch["id"].to_numpy(), batch["mark"].fill_null(int(NONE)).to_numpy()
+            for side, (i, m, v, ai, am) in sides.items():
+                own, away = (asked == side) & there, (asked == side) & ~there
+                i.append(ids[own]), m.append(marks[own]), ai.append(ids[away]), am.append(marks[away])
+                if own.any():
+                    x = dense(batch["vec"].filter(pa.array(own)))
+                    v.append(x) if side else file.write(np.ascontiguousarray(x).data)
+                    width = x.shape[1]
+        file.flush()
+        join = lambda xs: np.concatenate([np.zeros(0, np.int64), *xs])
+        (qi, qm, qai, qam), (di, dm, dai, dam) = ([join(x[n]) for n in (0, 1, 3, 4)] for x in sides.values())
+        q = np.concatenate([np.zeros((0, width)), *sides[True][2]])
+        first, order = np.argsort(qi, kind="stable"), np.argsort(di, kind="stable")
+        shape = (_tiled(len(di)), width)
+        if len(di) * width <= HELD_VALUES:
+            d = np.zeros(shape)
+        else:
+            with tempfile.TemporaryFile() as sorted_file:
+                d = np.memmap(sorted_file, float, "w+", shape=shape)
+        if len(di):
+            raw = np.memmap(file, float, "r", shape=(len(di), width))
+            for at in range(0, len(di), 4096):
+                d[at : min(at + 4096, len(di))] = raw[order[at : at + 4096]]
+    return (qi[first], qm[first], q[first], qai, qam), (di[order], dm[order], np.asarray(d), dai, dam)
+
+
+def together(rows: Iterable[tuple | None], names: list[str], size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of columns that come in pieces."""
+    held, n = [], 0
+    for row in rows:
+        if row is not None and len(row[0]):
+            held.append(row)
+            n += len(row[0])
+        if n >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+            held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+
+def _visits(make: Callable, names: list[str]):
+    def rows(batches):
+        (qi, qm, q, qai, qam), (ids, marks, d, *absent) = _gathered(batches)
+        visit = make(ids, marks, *absent)
+        for i, m in zip(qai, qam):
+            if not (qi == i).any():
+                yield visit(i, m, None)
+        same, step = [], _tiled(-(-HELD_SCORES // max(1, len(d))))
+        for start in range(0, len(q), step):
+            s = products(q[start : start + step], d)[:, : len(ids)]
+            for n in range(start, min(start + step, len(q))):
+                same.append(s[n - start])
+                if n + 1 < len(q) and qi[n + 1] == qi[n]:
+                    continue
+                # rows that repeat a query's id have one ranking
+                one = visit if len(same) == 1 else make(np.repeat(ids, len(same)), np.repeat(marks, len(same)), *absent)
+                yield one(qi[n], qm[n], same[0] if len(same) == 1 else np.stack(same).T.ravel())
+                same = []
+            del s  # before the next ones are made
+
+    return lambda batches: together(rows(batches), names)
+
+
+def against(queries: DataFrame, database: DataFrame, make: Callable, schema: str, mark: str | None = None) -> DataFrame:
+    """What a visitor makes of each query and the whole database; rows are ``(id, vec)`` and a whole number named by ``mark``, vectors of equal width.
+
+    ``make(ids, marks, absent ids, absent marks)`` gets the database, sorted by id; the absent have no
+    whole vector. It returns ``visit(id, mark, sims)``, which returns columns of ``schema``, or None;
+    ``sims`` is None for a query without a whole vector. A null mark is NONE; null ids go.
+    """
+    vec = doubles(F.col("vec"))
+    fine = F.coalesce(F.forall(vec, lambda x: x.isNotNull()), F.lit(False))
+    value = F.lit(None).cast("long") if mark is None else F.col(mark).cast("long")
+    flat = lambda df: df.filter(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.when(fine, vec).alias("vec"), value.alias("mark"))
+    q, d = flat(queries), flat(database)
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(1)).alias("w")).first()
+    blocks = -(-size["n"] * max(1, size["w"]) // QUERY_VALUES)
+    number = max(1, blocks, min(2 * q.sparkSession.sparkContext.defaultParallelism, -(-size["n"] // 64)))
+    q = q.select(F.pmod(F.xxhash64("id"), F.lit(number)).cast("int").alias("_p"), F.lit(True).alias("_q"), "*")
+    d = d.select(F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("_p"), F.lit(False).alias("_q"), "*")
+    names = [x.split()[0] for x in schema.split(",")]
+    return q.unionByName(d).repartitionById(number, "_p").drop("_p").mapInArrow(_visits(make, names), schema)
+
+
 def rank(queries: DataFrame, database: DataFrame, k: int | None = None) -> DataFrame:
     """``(query_id, image_id, sim, rank)`` from rank 0; every database row, or the k best."""
-    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "image_id")
-    out = scores(queries, database, k).withColumn("rank", (F.row_number().over(order) - 1).cast("long"))
-    return out if k is None else out.filter(F.col("rank") < k)
+
+    def make(ids, *_):
+        def visit(q, _, s):
+            if s is not None:
+                order = descending(s) if k is None else best(s, k)
+                return np.full(len(order), q), ids[order], s[order], np.arange(len(order))
+
+        return visit
+
+    return against(queries, database, make, "query_id long, image_id long, sim double, rank long")
 
 
 def nearest_words(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
