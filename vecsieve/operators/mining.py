@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import squared_distance
-from .search import scores
+from .search import NONE, against, descending, places
 
 
 def mine_negatives(scored: DataFrame, k: int = 5) -> DataFrame:
@@ -20,6 +21,39 @@ def mine_negatives(scored: DataFrame, k: int = 5) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "image_id", "cluster", "rank")
 
 
+def hardest(queries: DataFrame, database: DataFrame, k: int = 5) -> DataFrame:
+    """``mine_negatives`` of ``(id, vec, label)`` rows, where the scores are made."""
+
+    def make(ids, marks, *_):
+        order = np.argsort(marks, kind="stable")
+        clusters, starts = np.unique(marks[order], return_index=True)
+        ends = np.append(starts[1:], len(order))
+
+        def visit(q, own, s):
+            if s is None or own == NONE or not len(s):
+                return None
+            s = s[order]
+            top = np.maximum.reduceat(s, starts)
+            some = np.flatnonzero((clusters != own) & (clusters != NONE))
+            some = some[_least_of_best(top[some], k)]
+            at = np.array([starts[c] + np.argmax(s[starts[c] : ends[c]]) for c in some], np.int64)
+            by = np.lexsort((ids[order[at]], -top[some], ~np.isnan(top[some])))[:k]
+            return np.full(len(by), q), ids[order[at[by]]], clusters[some[by]], np.arange(1, len(by) + 1, dtype=np.int32)
+
+        return visit
+
+    out = against(queries, database, make, "query_id long, image_id long, cluster long, rank int", "label")
+    return out.withColumn("cluster", F.col("cluster").cast(database.schema["label"].dataType))
+
+
+def _least_of_best(top: np.ndarray, k: int) -> np.ndarray:
+    """Places of all values as high as the k-th best."""
+    order = descending(top)
+    if len(order) <= k or np.isnan(top).any():
+        return order
+    return np.flatnonzero(top >= top[order[k - 1]])
+
+
 def sample_epoch(pairs: DataFrame, pool: DataFrame, n_pairs: int, n_pool: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Seeded samples of pairs and of the pool, without replacement."""
     take = lambda df, key, n: df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
@@ -48,9 +82,20 @@ def contrastive_loss(tuples: DataFrame, margin: float) -> DataFrame:
 
 def nearest_other(vectors: DataFrame) -> DataFrame:
     """``(query_id, image_id, sim)``: the best other row by inner product, ties to the smaller id."""
-    pairs = scores(vectors, vectors, 2).filter("query_id != image_id")
-    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "image_id")
-    return pairs.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+
+    def make(ids, *_):
+        def visit(q, _, s):
+            if s is None:
+                return None
+            low, high = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
+            ends = [part.start + np.argmax(s[part]) for part in (slice(0, low), slice(high, len(s))) if part.start < part.stop]
+            at = np.array(ends, np.int64)
+            at = at[descending(s[at])][:1]
+            return np.full(len(at), q), ids[at], s[at]
+
+        return visit
+
+    return against(vectors, vectors, make, "query_id long, image_id long, sim double")
 
 
 def koleo(vectors: DataFrame) -> DataFrame:
@@ -68,14 +113,22 @@ def knn_precision(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 def knn_average_precision(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean over rows of the average precision of their label in the ranking of all others; rows alone with their label do not count."""
-    a = labels.select(F.col("id").alias("query_id"), F.col("label").alias("a"))
-    b = labels.select(F.col("id").alias("image_id"), F.col("label").alias("b"))
-    order = Window.partitionBy("query_id").orderBy(F.col("sim").desc(), "image_id")
-    ranked = scores(vectors, vectors).filter("query_id != image_id").withColumn("place", F.row_number().over(order))
-    same = ranked.join(a, "query_id").join(b, "image_id").filter("a = b")
-    hits = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
-    each = same.withColumn("p", hits / F.col("place")).groupBy("query_id").agg(F.avg("p").alias("ap"))
-    return each.agg(F.avg("ap").alias("mean_average_precision"))
+    rows = vectors if labels is vectors else vectors.select("id", "vec").join(labels.select("id", "label"), "id", "left")
+
+    def make(ids, marks, *_):
+        def visit(q, own, s):
+            if s is None or own == NONE:
+                return None
+            low, high = np.searchsorted(ids, q, "left"), np.searchsorted(ids, q, "right")
+            same = np.flatnonzero(marks == own)
+            same = np.concatenate([same[same < low], same[same >= high] - (high - low)])
+            if len(same):
+                place = np.sort(places(np.delete(s, slice(low, high)), same)) + 1
+                return np.array([q]), np.array([np.mean(np.arange(1, len(place) + 1) / place)])
+
+        return visit
+
+    return against(rows, rows, make, "query_id long, ap double", "label").agg(F.avg("ap").alias("mean_average_precision"))
 
 
 def stopped_epochs(curves: DataFrame, patience: int = 5, min_delta: float = 0.001) -> DataFrame:
