@@ -181,21 +181,19 @@ query("offsets", "SELECT conv_id, turn, (sum(length(text)) OVER (PARTITION BY co
 )
 
 
-def _scored(v: Views) -> DataFrame:
-    a = v.queries.select(F.col("id").alias("query_id"), F.col("label").alias("query_cluster"))
-    b = v.database.select(F.col("id").alias("image_id"), F.col("label").alias("cluster"))
-    return search.scores(v.queries, v.database).join(a, "query_id").join(b, "image_id")
+def _mined(v: Views) -> DataFrame:
+    return mining.hardest(v.queries, v.database)
 
 
 MINED = RANKED + """, o AS (SELECT s.query_id, s.image_id, d.label AS cluster, s.sim FROM sims s JOIN q ON q.vec_id = s.query_id JOIN d ON d.vec_id = s.image_id WHERE q.label <> d.label),
 o1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, cluster ORDER BY sim DESC, image_id) AS r FROM o) WHERE r = 1),
 mined AS (SELECT query_id, image_id, cluster, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, image_id))::INT AS rank FROM o1) WHERE rank <= 5)"""
-query("mine_negatives", MINED + " SELECT * FROM mined")(lambda v: mining.mine_negatives(_scored(v)))
+query("mine_negatives", MINED + " SELECT * FROM mined")(_mined)
 
 
 def _tuples(v: Views) -> DataFrame:
     vec = v.every.select("id", "vec")
-    neg = mining.mine_negatives(_scored(v)).join(vec.withColumnRenamed("id", "image_id"), "image_id").groupBy("query_id").agg(F.collect_list("vec").alias("negatives"))
+    neg = _mined(v).join(vec.withColumnRenamed("id", "image_id"), "image_id").groupBy("query_id").agg(F.collect_list("vec").alias("negatives"))
     first = v.database.groupBy("label").agg(F.min("id").alias("p"))
     q = v.queries.select(F.col("id").alias("query_id"), F.col("vec").alias("q"), "label").join(first, "label")
     return q.join(vec.select(F.col("id").alias("p"), F.col("vec").alias("pv")), "p").join(neg, "query_id").select("query_id", "q", F.col("pv").alias("p"), "negatives")
