@@ -1,16 +1,22 @@
 """Retrieval metrics: protocols, average precision, precision at k.
 
 Only graded items take part in the joins: an item's position once ignored items are gone
-is its rank less the number of ignored items before it.
+is its rank less the number of ignored items before it. Where a rule on ids and labels
+grades the items (``Grades``), metrics are made where a query's scores are, by ``*_by``:
+neither ranking nor truth become rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .search import NONE, against, best, places
+
 # Role of each grade under each protocol.
 ROLES = [
     ("easy", "easy", "positive"), ("easy", "hard", "ignored"), ("easy", "junk", "ignored"),
@@ -18,6 +24,9 @@ ROLES = [
     ("hard", "hard", "positive"), ("hard", "easy", "ignored"), ("hard", "junk", "ignored"),
 ]
 PROTOCOLS = ["easy", "medium", "hard"]
+GRADES = ["easy", "hard", "junk"]
+# Of a query's id and of database ids with the query's label: 1 + place in GRADES.
+Grades = Callable[[int, np.ndarray], np.ndarray]
 
 
 def explode_truth(queries: DataFrame) -> DataFrame:
@@ -26,10 +35,12 @@ def explode_truth(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", lists.alias("grade", "ids")).select("query_id", F.explode("ids").alias("image_id"), "grade")
 
 
-def protocol_sets(truth: DataFrame) -> DataFrame:
-    """``(protocol, query_id, image_id, role)``; duplicates collapse."""
-    roles = truth.sparkSession.createDataFrame(ROLES, "protocol string, grade string, role string")
-    return truth.join(F.broadcast(roles), "grade").select("protocol", "query_id", "image_id", "role").distinct()
+def protocol_sets(truth: DataFrame, once: bool = False) -> DataFrame:
+    """``(protocol, query_id, image_id, role)``; duplicates collapse, unless the truth is said to have none."""
+    kinds = {g: F.array(*[F.struct(F.lit(p).alias("protocol"), F.lit(r).alias("role")) for p, of, r in ROLES if of == g]) for g in GRADES}
+    of = reduce(lambda c, g: c.when(F.col("grade") == g, kinds[g]), GRADES, F)
+    out = truth.select("query_id", "image_id", F.explode(of).alias("r")).select("r.protocol", "query_id", "image_id", "r.role")
+    return out if once else out.distinct()
 
 
 def graded(truth: DataFrame) -> DataFrame:
@@ -80,6 +91,97 @@ def query_metrics(ranked: DataFrame, truth: DataFrame, queries: DataFrame, k: in
     )
 
 
+def _kinds(role: str) -> np.ndarray:
+    """Whether a protocol gives a grade the role; grade 0 has none."""
+    return np.array([[False, *((p, g, role) in ROLES for g in GRADES)] for p in PROTOCOLS])
+
+
+def _coder(grades: Grades, ids: np.ndarray, marks: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    """Grades of the items for a query's id and label, 0 for no grade."""
+    repeated = bool((ids[1:] == ids[:-1]).any())
+
+    def code(q: int, own: int) -> np.ndarray:
+        same = (marks == own) & (own != NONE)
+        at = np.flatnonzero(np.isin(ids, ids[same]) if repeated else same)
+        out = np.zeros(len(ids), np.int8)
+        out[at] = grades(q, ids[at])
+        return out
+
+    return code
+
+
+def _placed_by(queries: DataFrame, database: DataFrame, grades: Grades, make_rows: Callable, schema: str) -> DataFrame:
+    """Rows of ``make_rows(query, protocol, number of positives, ids, pos)`` of positives in their order once ignored items are gone."""
+    positive, ignored = _kinds("positive"), _kinds("ignored")
+
+    def make(ids, marks, away_ids, away_marks):
+        code, away = _coder(grades, ids, marks), _coder(grades, away_ids, away_marks)
+        single = not len(away_ids) and not (ids[1:] == ids[:-1]).any()
+
+        def visit(q, own, s):
+            codes = code(q, own)
+            at, lost = np.flatnonzero(codes), away(q, own)
+            rank = places(s, at) if s is not None else None
+            order = np.argsort(rank) if s is not None else None
+            rows = []
+            for p in range(len(PROTOCOLS)):
+                mine = positive[p][codes[at]]
+                n = int(mine.sum()) if single else len(np.unique(np.concatenate([ids[at[mine]], away_ids[positive[p][lost]]])))
+                if s is None:
+                    rows.append(make_rows(q, p, n, ids[:0], np.zeros(0, np.int64)))
+                    continue
+                gone, mine = np.cumsum(ignored[p][codes[at[order]]]), mine[order]
+                rows.append(make_rows(q, p, n, ids[at[order[mine]]], (rank[order] - gone)[mine]))
+            return tuple(map(np.concatenate, zip(*rows)))
+
+        return visit
+
+    out = against(queries, database, make, "p int, " + schema, "label")
+    return out.withColumn("p", F.element_at(F.array(*map(F.lit, PROTOCOLS)), F.col("p") + 1)).withColumnRenamed("p", "protocol")
+
+
+def filtered_positions_by(queries: DataFrame, database: DataFrame, grades: Grades) -> DataFrame:
+    """``filtered_positions`` of the exact ranking of ``(id, vec, label)`` rows."""
+
+    def rows(q, p, _, ids, pos):
+        return np.full(len(ids), p, np.int32), np.full(len(ids), q), ids, pos
+
+    return _placed_by(queries, database, grades, rows, "query_id long, image_id long, pos long")
+
+
+def query_metrics_by(queries: DataFrame, database: DataFrame, grades: Grades, k: int = 10) -> DataFrame:
+    """``query_metrics`` of the exact ranking of ``(id, vec, label)`` rows."""
+
+    def rows(q, p, n, _, pos):
+        ap = precision = 0.0 if n else float("nan")
+        if len(pos) and n:
+            j, last = np.arange(len(pos)), min(pos[-1] + 1, k)
+            before = np.divide(j, pos, out=np.ones(len(pos)), where=pos > 0)
+            ap, precision = ((before + (j + 1) / (pos + 1)) / 2).sum() / n, (pos < last).sum() / last
+        return np.array([p], np.int32), np.array([q]), np.array([n]), np.array([float(ap)]), np.array([float(precision)])
+
+    return _placed_by(queries, database, grades, rows, "query_id long, n_positive long, ap double, precision double")
+
+
+def result_status_by(queries: DataFrame, database: DataFrame, grades: Grades, protocol: str, k: int) -> DataFrame:
+    """``result_status`` of the k best of the exact ranking of ``(id, vec, label)`` rows."""
+    row = PROTOCOLS.index(protocol)
+    role = np.where(_kinds("ignored")[row], 1, np.where(_kinds("positive")[row], 2, 3)).astype(np.int32)
+
+    def make(ids, marks, *_):
+        code = _coder(grades, ids, marks)
+
+        def visit(q, own, s):
+            if s is not None:
+                at = best(s, k)
+                return np.full(len(at), q), ids[at], np.arange(len(at)), role[code(q, own)[at]]
+
+        return visit
+
+    out = against(queries, database, make, "query_id long, image_id long, rank long, status int", "label")
+    return out.withColumn("status", F.element_at(F.array(*map(F.lit, ("ignored", "correct", "wrong"))), F.col("status")))
+
+
 def evaluate(per_query: DataFrame, k: int = 10) -> DataFrame:
     """Means per protocol over answerable queries; NaN if none is."""
     nan, ok = F.lit(float("nan")), F.col("n_positive") > 0

@@ -13,7 +13,7 @@ from ..operators import encode as E
 from ..operators import fit, metrics, mining, pool, search
 from ..sources import runlog
 from ..streaming import latest as stream
-from .views import Views
+from .views import Views, grades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,11 +79,11 @@ def _rank(v: Views, k: int | None = None) -> DataFrame:
 query("exact_rank", RANKED + " SELECT query_id, image_id, rank FROM ranked")(lambda v: _rank(v).select("query_id", "image_id", "rank"))
 query("exact_top8", RANKED + " SELECT query_id, image_id, rank, round(sim, 6) AS sim FROM ranked WHERE rank < 8")(lambda v: _six(_rank(v, 8), "sim"))
 query("protocol_sets", TRUTH + " SELECT * FROM sets")(lambda v: metrics.protocol_sets(v.truth))
-query("filtered_positions", TRUTH + " SELECT protocol, query_id, image_id, pos FROM hits")(lambda v: metrics.filtered_positions(_rank(v), v.truth))
+query("filtered_positions", TRUTH + " SELECT protocol, query_id, image_id, pos FROM hits")(lambda v: metrics.filtered_positions_by(v.queries, v.database, grades))
 
 
 def _per(v: Views) -> DataFrame:
-    return metrics.query_metrics(_rank(v), v.truth, v.query_ids)
+    return metrics.query_metrics_by(v.queries, v.database, grades)
 
 
 query("query_ap", TRUTH + " SELECT protocol, query_id, n_positive, round(ap, 6) AS ap FROM per WHERE n_positive > 0")(lambda v: _six(_per(v), "ap").filter("n_positive > 0").drop("precision"))
