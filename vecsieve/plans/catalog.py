@@ -92,7 +92,7 @@ query("eval_protocols", TRUTH + """ SELECT protocol, round(avg(ap) FILTER (n_pos
 count(*) FILTER (n_positive > 0) AS num_queries, count(*) FILTER (n_positive = 0) AS num_excluded FROM per GROUP BY protocol""")(lambda v: _six(metrics.evaluate(_per(v)), "map", "mp_at_k"))
 query("typical_query", TRUTH + ", m AS (SELECT * FROM per WHERE protocol = 'medium' AND n_positive > 0) SELECT query_id, round(ap, 6) AS ap FROM m ORDER BY abs(ap - (SELECT avg(ap) FROM m)), query_id LIMIT 1")(lambda v: _six(metrics.typical_query(_per(v), "medium"), "ap"))
 query("result_status", TRUTH + """ SELECT r.query_id, r.image_id, r.rank, CASE WHEN s.role = 'ignored' THEN 'ignored' WHEN s.role = 'positive' THEN 'correct' ELSE 'wrong' END AS status
-FROM ranked r LEFT JOIN sets s ON s.protocol = 'medium' AND s.query_id = r.query_id AND s.image_id = r.image_id WHERE r.rank < 8""")(lambda v: metrics.result_status(_rank(v, 8), v.truth, "medium"))
+FROM ranked r LEFT JOIN sets s ON s.protocol = 'medium' AND s.query_id = r.query_id AND s.image_id = r.image_id WHERE r.rank < 8""")(lambda v: metrics.result_status_by(v.queries, v.database, grades, "medium", 8))
 query("size_histogram", TRUTH + ", n AS (SELECT query_id, count(*) AS n FROM gt WHERE grade <> 'junk' GROUP BY 1) SELECT least(floor(n * 15 / 150), 14)::BIGINT AS bin, count(*) AS queries FROM n GROUP BY 1")(lambda v: metrics.set_sizes(v.truth))
 
 
