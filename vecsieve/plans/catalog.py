@@ -78,7 +78,7 @@ def _rank(v: Views, k: int | None = None) -> DataFrame:
 
 query("exact_rank", RANKED + " SELECT query_id, image_id, rank FROM ranked")(lambda v: _rank(v).select("query_id", "image_id", "rank"))
 query("exact_top8", RANKED + " SELECT query_id, image_id, rank, round(sim, 6) AS sim FROM ranked WHERE rank < 8")(lambda v: _six(_rank(v, 8), "sim"))
-query("protocol_sets", TRUTH + " SELECT * FROM sets")(lambda v: metrics.protocol_sets(v.truth))
+query("protocol_sets", TRUTH + " SELECT * FROM sets")(lambda v: metrics.protocol_sets(v.truth, once=True))
 query("filtered_positions", TRUTH + " SELECT protocol, query_id, image_id, pos FROM hits")(lambda v: metrics.filtered_positions_by(v.queries, v.database, grades))
 
 

@@ -11,6 +11,7 @@ from ..sources.tables import Store
 from .config import Bow, Fisher, Run, Vlad
 
 WIDTH, PARTS = 8, 8
+PAIRS_OF_A_TASK = 5_000_000
 MODELS = ("dinov2-vits14", "deit-vitb16-dist-224", "siglip2-vitl16-384")
 CHECKPOINT = "runs/deit-vitb16-dist-224-lr1e-05-lora8-seed0/best.pth"
 
@@ -37,10 +38,16 @@ class Views:
 
     @property
     def truth(self) -> DataFrame:
-        q = self.queries.select(F.col("id").alias("query_id"), "label")
-        d = self.database.select(F.col("id").alias("image_id"), "label")
+        """``(query_id, image_id, grade)``, each pair once. A label's pairs are spread over slices of the database, as many as there are pairs to make."""
+        q = self.queries.select(F.col("id").alias("query_id"), "label").distinct()
+        d = self.database.select(F.col("id").alias("image_id"), "label").distinct()
+        number = max(2 * self.spark.sparkContext.defaultParallelism, min(512, q.count() * d.count() // PAIRS_OF_A_TASK))
+        d = d.withColumn("_s", F.pmod(F.xxhash64("image_id"), F.lit(number)).cast("int")).repartition(number, "label", "_s")
+        q = q.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(number - 1)))).repartition(number, "label", "_s")
         base = F.when(F.col("image_id") % 3 == 0, F.when(F.col("query_id") % 70 == 0, "junk").otherwise("easy")).when(F.col("image_id") % 3 == 1, "hard").otherwise("junk")
-        return q.join(d, "label").select("query_id", "image_id", base.alias("grade"))
+        pairs = q.join(d.hint("merge"), ["label", "_s"]).select("query_id", "image_id", base.alias("grade"))
+        several = self.every.groupBy("id").agg((F.min("label") != F.max("label")).alias("several")).filter("several")
+        return pairs if several.isEmpty() else pairs.distinct()
 
     def local(self, rows: DataFrame | None = None) -> DataFrame:
         """``(image_id, kp, vec, label)``: sub-vectors 0 up to id mod 9."""
