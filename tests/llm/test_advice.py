@@ -58,3 +58,17 @@ def test_no_length_stops_the_decoder(read):
     assert read("y o u i d i o t") == "you idiot"
     assert read("y o u  a r e  a n  1 d 1 0 t") == "you are an idiot"
     assert len(read("a1b" * 50000)) > 50000
+
+
+def test_top_k_keeps_copies_of_queries_from_the_driver(spark):
+    from vecsieve.llm.topk import top_k
+
+    v = spark.createDataFrame([(i, [float(i % 7 == 0), float(i % 5 - 2)]) for i in range(300)], "vec_id long, embedding array<float>")
+    got = top_k(v, v.filter("vec_id % 100 = 0"), block=50, query_block=2)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = got.collect()
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    score = lambda q, i: int((q % 7 == 0) * (i % 7 == 0) * 1024**2 + (q % 5 - 2) * (i % 5 - 2) * 1024**2)
+    for q in (0, 100, 200):
+        want = sorted((-score(q, i), i) for i in range(300) if i != q)[:10]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in rows if r["query_id"] == q) == [(n, i, -s) for n, (s, i) in enumerate(want, 1)]

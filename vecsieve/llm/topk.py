@@ -3,8 +3,8 @@
 Vectors are integer posting weights over terms (their dimensions). For each query row,
 every non-zero term scatters its weighted postings into a dense array of scores, one
 per candidate of a block; partition selection takes the block's best, and the blocks'
-lists merge in a window. Query blocks meet candidate blocks over an equi-join on the
-block number; both kinds of block have a fixed size.
+lists merge in a window. Query blocks go to where each candidate block is, which moves
+once, over a sort-merge join on its number; both kinds of block have a fixed size.
 """
 
 from __future__ import annotations
@@ -14,15 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import Cuts
 
-
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Packed blocks of about ``size`` rows, dealt by a hash of the id."""
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """Packed blocks of about ``size`` rows, dealt by a hash of the id, and their number."""
     count = 1 + rows.count() // size
     one = F.struct("vec_id", "weights")
     dealt = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", "weights"), F.lit(count)))
-    return dealt.groupBy(name).agg(F.collect_list(one).alias(f"{name}_rows"))
+    return dealt.groupBy(name).agg(F.collect_list(one).alias(f"{name}_rows")), count
 
 
 def _dense(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,23 +42,30 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
+def _postings(column: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """Candidates with a term and their weights; for a term that most have, no list, but the weights of all."""
+    hit = np.flatnonzero(column)
+    return (None, np.ascontiguousarray(column)) if 2 * len(hit) > len(column) else (hit, column[hit])
+
+
 def _search(k: int):
     def run(batches):
         for batch in batches:
             for queries, candidates in zip(batch["q_rows"], batch["c_rows"]):
                 qid, q = _dense(queries.as_py())
                 cid, c = _dense(candidates.as_py())
-                postings = [np.flatnonzero(c[:, t]) for t in range(min(q.shape[1], c.shape[1]))]
+                postings = [_postings(c[:, t]) for t in range(min(q.shape[1], c.shape[1]))]
+                held = np.empty(len(cid), np.int64)
                 out = [[], [], []]
                 for row, own in zip(q, qid):
                     scores = np.zeros(len(cid), np.int64)
                     for t, weight in enumerate(row[: len(postings)].tolist()):
                         if weight:
-                            hit = postings[t]
-                            if len(hit) == len(cid):
-                                scores += weight * c[:, t]
+                            hit, weights = postings[t]
+                            if hit is None:
+                                scores += np.multiply(weights, weight, out=held)
                             else:
-                                scores[hit] += weight * c[hit, t]
+                                scores[hit] += weight * weights
                     others = np.flatnonzero(cid != own)
                     best = others[select(scores[others], cid[others], k)]
                     for column, v in zip(out, (np.full(len(best), own), cid[best], scores[best])):
@@ -71,7 +76,7 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096, query_block: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096, query_block: int = 4096) -> DataFrame:
     """The k highest integer inner products of each query with all other vectors.
 
     Components become floor(scale * x), x as double. ``(query_id, rank from 1, vec_id,
@@ -82,7 +87,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     a query id give one list, of their best; empty tables give an empty result; other columns are not
     read. Sums are 64-bit.
     """
-    cuts = Cuts(vectors.sparkSession)
 
     def whole(df: DataFrame) -> DataFrame:
         v = F.col(vec_col)
@@ -90,11 +94,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         ints = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
         return df.filter(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), ints.alias("weights"))
 
-    c = cuts.cut(_blocks(whole(vectors), block, "c"))
-    q = _blocks(whole(queries), query_block, "q")
-    count = c.agg(F.coalesce(F.max("c"), F.lit(-1))).first()[0]
-    q = q.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(count).cast("long")))) if count >= 0 else q.withColumn("c", F.lit(0).cast("long"))
-    near = q.join(c, "c").select("q_rows", "c_rows").repartition(1 + (count + 1)).mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    c, count = _blocks(whole(vectors), block, "c")
+    q, _ = _blocks(whole(queries), query_block, "q")
+    q = q.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+    # partitions of stated number stay as they are, and a merge join keeps the copies of the queries from the driver
+    q, c = (x.repartition(count, "c") for x in (q, c))
+    near = q.join(c.hint("merge"), "c").select("q_rows", "c_rows").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
