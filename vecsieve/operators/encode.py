@@ -39,6 +39,12 @@ def inverse_document_frequency(tf: DataFrame, images: DataFrame, words: DataFram
     return words.join(seen, "word", "left").select("word", F.when(F.col("df").isNull(), 0.0).otherwise(F.log(F.lit(float(n)) / F.col("df"))).alias("idf"))
 
 
+def seen_idf(tf: DataFrame, images: DataFrame) -> DataFrame:
+    """``inverse_document_frequency`` of the words that occur, counted from term frequencies of one row per image and word."""
+    n = images.count()
+    return tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", F.log(F.lit(float(n)) / F.col("df")).alias("idf"))
+
+
 def unit(df: DataFrame, key: list[str], value: str) -> DataFrame:
     """Value over the L2 norm of its key's values; zero stays zero."""
     norm = F.sqrt(F.sum(F.col(value) * F.col(value)).over(Window.partitionBy(*key)))
@@ -50,11 +56,61 @@ def tfidf(tf: DataFrame, idf: DataFrame) -> DataFrame:
     return unit(tf.join(idf, "word").select("image_id", "word", (F.col("tf") * F.col("idf")).alias("w")), ["image_id"], "w")
 
 
-def sparse_scores(queries: DataFrame, database: DataFrame, key: list[str], value: str = "w") -> DataFrame:
-    """``(query_id, image_id, sim)`` by an equi-join on the shared coordinates: an inverted index."""
-    d = database.select(*key, F.col("image_id"), F.col(value).alias("_d"))
-    q = queries.select(*key, F.col("image_id").alias("query_id"), F.col(value).alias("_q"))
-    return q.join(d, key).groupBy("query_id", "image_id").agg(F.sum(F.col("_q") * F.col("_d")).alias("sim"))
+def _rows_of(batch: pa.RecordBatch, at: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, coordinate and value of each entry of a slice of packed rows."""
+    part = batch.slice(at.start, at.stop - at.start)
+    n = part["c"].value_lengths().to_numpy()
+    return np.repeat(np.arange(len(part)), n), part["c"].flatten().to_numpy(), part["v"].flatten().to_numpy()
+
+
+def _matrix(entries: tuple, rows: int, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of the terms, and ones where a row has the term."""
+    row, term, value = entries
+    at = np.minimum(np.searchsorted(terms, term), len(terms) - 1)
+    held = terms[at] == term
+    x, there = np.zeros((rows, len(terms))), np.zeros((rows, len(terms)), np.float32)
+    np.add.at(x, (row[held], at[held]), value[held])
+    there[row[held], at[held]] = 1
+    return x, there
+
+
+def _meet(batches):
+    """Sums of products of every query, which come first, with every row that shares a coordinate with it."""
+    queries = []
+    for batch in batches:
+        asked = batch["_q"].to_numpy(zero_copy_only=False)
+        if asked.any():
+            queries.append(batch.filter(pa.array(asked)))
+        rows = batch.filter(pa.array(~asked))
+        for q in queries if len(rows) else []:
+            for some in slabs(len(q), max(1 << 12, len(q["c"].flatten().unique()))):
+                some = slice(some.start, min(some.stop, len(q)))
+                entries = _rows_of(q, some)
+                terms = np.unique(entries[1])
+                a, shared = _matrix(entries, some.stop - some.start, terms)
+                for part in slabs(len(rows), max(1 << 10, len(terms))):
+                    part = slice(part.start, min(part.stop, len(rows)))
+                    b, there = _matrix(_rows_of(rows, part), part.stop - part.start, terms)
+                    s, both = a @ b.T, shared @ there.T > 0
+                    i, j = np.nonzero(both)
+                    yield _long(["query_id", "image_id", "sim"], q["image_id"].to_numpy()[some][i], rows["image_id"].to_numpy()[part][j], s[i, j])
+
+
+def sparse_scores(queries: DataFrame, database: DataFrame, key: list[str], value: str = "w", block: int = 16384) -> DataFrame:
+    """``(query_id, image_id, sim)`` of the pairs that share a coordinate. Queries in blocks meet slices of the database, each pair in one task; coordinates are told apart by 64-bit hashes."""
+
+    def packed(df: DataFrame) -> DataFrame:
+        one = F.collect_list(F.struct(F.xxhash64(*key).alias("c"), F.col(value).alias("v")))
+        return df.filter(F.col(value).isNotNull()).groupBy("image_id").agg(one.alias("e")).select("image_id", F.col("e.c").alias("c"), F.col("e.v").alias("v"))
+
+    ids = queries.select("image_id").agg(F.approx_count_distinct("image_id")).first()[0]
+    blocks, slices = 1 + ids // block, 2 * queries.sparkSession.sparkContext.defaultParallelism
+    over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("image_id"), F.lit(n)).cast("int")
+    q = packed(queries).select("*", deal(blocks).alias("_b"), over(slices).alias("_s"), F.lit(True).alias("_q"))
+    d = packed(database).select("*", over(blocks).alias("_b"), deal(slices).alias("_s"), F.lit(False).alias("_q"))
+    dealt = q.unionByName(d).withColumn("_p", (F.col("_b") * slices + F.col("_s")).cast("int")).repartitionById(blocks * slices, "_p")
+    return dealt.sortWithinPartitions(F.desc("_q")).select("image_id", "c", "v", "_q").mapInArrow(_meet, "query_id long, image_id long, sim double")
 
 
 def power(value: str, alpha: float | None) -> Column:
