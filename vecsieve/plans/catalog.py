@@ -247,9 +247,8 @@ query("text_tfidf_all")(lambda v: _six(_text(v), "w"))
 
 def _text(v: Views, most: int | None = None) -> DataFrame:
     docs = v.table("documents")
-    words = E.text_words(docs, most)
-    tf = E.term_frequencies(words)
-    return E.tfidf(tf, E.inverse_document_frequency(tf, docs, words.select("word").distinct()))
+    tf = E.term_frequencies(E.text_words(docs, most))
+    return E.tfidf(tf, E.seen_idf(tf, docs))
 
 
 def _stream(v: Views) -> DataFrame:
