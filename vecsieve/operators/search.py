@@ -23,7 +23,7 @@ from ..functions.vectors import doubles
 SMALL = 1 << 22
 CELLS = 1 << 22
 # values of a block of queries, of a database kept in memory, and scores at a time
-QUERY_VALUES, HELD_VALUES, HELD_SCORES = 1 << 20, 1 << 23, 1 << 22
+QUERY_VALUES, HELD_VALUES, HELD_SCORES = 1 << 22, 1 << 23, 1 << 22
 TILE = 16
 NONE = np.iinfo(np.int64).min
 
