@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import NONE, against, best, places
+from .search import NONE, against, best, in_order
 
 # Role of each grade under each protocol.
 ROLES = [
@@ -96,16 +96,17 @@ def _kinds(role: str) -> np.ndarray:
     return np.array([[False, *((p, g, role) in ROLES for g in GRADES)] for p in PROTOCOLS])
 
 
-def _coder(grades: Grades, ids: np.ndarray, marks: np.ndarray) -> Callable[[int, int], np.ndarray]:
-    """Grades of the items for a query's id and label, 0 for no grade."""
+def _coder(grades: Grades, ids: np.ndarray, marks: np.ndarray) -> Callable[[int, int], tuple[np.ndarray, np.ndarray]]:
+    """Places of the graded items for a query's id and label, and their grades. Items are put in order of labels once."""
     repeated = bool((ids[1:] == ids[:-1]).any())
+    order = np.argsort(marks, kind="stable")
+    line = marks[order]
 
-    def code(q: int, own: int) -> np.ndarray:
-        same = (marks == own) & (own != NONE)
-        at = np.flatnonzero(np.isin(ids, ids[same]) if repeated else same)
-        out = np.zeros(len(ids), np.int8)
-        out[at] = grades(q, ids[at])
-        return out
+    def code(q: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+        at = order[np.searchsorted(line, own) : np.searchsorted(line, own, "right")] if own != NONE else order[:0]
+        at = np.flatnonzero(np.isin(ids, ids[at])) if repeated else at
+        codes = grades(q, ids[at])
+        return (at, codes) if codes.all() else (at[codes > 0], codes[codes > 0])
 
     return code
 
@@ -119,19 +120,21 @@ def _placed_by(queries: DataFrame, database: DataFrame, grades: Grades, make_row
         single = not len(away_ids) and not (ids[1:] == ids[:-1]).any()
 
         def visit(q, own, s):
-            codes = code(q, own)
-            at, lost = np.flatnonzero(codes), away(q, own)
-            rank = places(s, at) if s is not None else None
-            order = np.argsort(rank) if s is not None else None
+            (at, codes), (lost, lost_codes) = code(q, own), away(q, own)
+            counts = np.bincount(codes, minlength=1 + len(GRADES))
+            if s is not None:
+                order, rank = in_order(s, at)
+                items, kinds = ids[at[order]], codes.astype(np.int8)[order]
+                of = [kinds == g for g in range(1 + len(GRADES))]
             rows = []
             for p in range(len(PROTOCOLS)):
-                mine = positive[p][codes[at]]
-                n = int(mine.sum()) if single else len(np.unique(np.concatenate([ids[at[mine]], away_ids[positive[p][lost]]])))
+                n = int(counts[positive[p]].sum()) if single else len(np.unique(np.concatenate([ids[at[positive[p][codes]]], away_ids[lost[positive[p][lost_codes]]]])))
                 if s is None:
                     rows.append(make_rows(q, p, n, ids[:0], np.zeros(0, np.int64)))
                     continue
-                gone, mine = np.cumsum(ignored[p][codes[at[order]]]), mine[order]
-                rows.append(make_rows(q, p, n, ids[at[order[mine]]], (rank[order] - gone)[mine]))
+                gone, mine = (reduce(np.logical_or, (of[g] for g in np.flatnonzero(x[p])), of[0]) for x in (ignored, positive))
+                mine = np.flatnonzero(mine)
+                rows.append(make_rows(q, p, n, items[mine], rank[mine] - np.cumsum(gone)[mine]))
             return tuple(map(np.concatenate, zip(*rows)))
 
         return visit
@@ -174,7 +177,10 @@ def result_status_by(queries: DataFrame, database: DataFrame, grades: Grades, pr
         def visit(q, own, s):
             if s is not None:
                 at = best(s, k)
-                return np.full(len(at), q), ids[at], np.arange(len(at)), role[code(q, own)[at]]
+                codes = np.zeros(len(ids), np.int8)
+                where, kinds = code(q, own)
+                codes[where] = kinds
+                return np.full(len(at), q), ids[at], np.arange(len(at)), role[codes[at]]
 
         return visit
 

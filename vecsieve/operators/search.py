@@ -25,6 +25,8 @@ CELLS = 1 << 22
 # values of a block of queries, of a database kept in memory, and scores at a time
 QUERY_VALUES, HELD_VALUES, HELD_SCORES = 1 << 22, 1 << 23, 1 << 22
 TILE = 16
+# tied scores that are looked up one by one
+FEW_TIES = 16
 NONE = np.iinfo(np.int64).min
 
 
@@ -112,9 +114,19 @@ def pairs(queries: DataFrame, database: DataFrame, block: int = 65536) -> DataFr
 
 def descending(s: np.ndarray) -> np.ndarray:
     """Places from the highest score to the lowest, ties in their order; NaN is highest."""
-    order = np.argsort(-s, kind="stable")
-    nan = np.isnan(s[order])
-    return np.concatenate([order[nan], order[~nan]]) if nan.any() else order
+    order = np.argsort(-s)
+    line = s[order]
+    nan = int(np.isnan(line).sum())
+    tied = line[1:] == line[:-1]
+    if tied.any() or nan > 1:
+        tied[len(s) - nan :] = True
+        group = np.zeros(len(s), np.int64)
+        np.cumsum(~tied, out=group[1:])
+        group *= len(s)
+        group += order
+        group.sort()
+        order = group % len(s)
+    return np.roll(order, nan) if nan else order
 
 
 def best(s: np.ndarray, k: int) -> np.ndarray:
@@ -125,17 +137,33 @@ def best(s: np.ndarray, k: int) -> np.ndarray:
     return at[descending(s[at])][:k]
 
 
-def places(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks from 0 of the scores at ``at``, as by ``descending``; only if one of them is tied are all put in order."""
+def in_order(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the scores at ``at`` as by ``descending``, and their ranks in it, from 0 and among all; all are put in order only if many of them are tied."""
     line = np.sort(s)
     up = np.argsort(s[at])
-    end = np.searchsorted(line, s[at][up], "right")
-    out = np.empty(len(at), np.int64)
-    out[up] = len(s) - end
-    if len(at) and (np.isnan(line[-1]) or ((end > 1) & (line[end - 2] == s[at][up])).any()):
+    values = s[at][up]
+    end = np.searchsorted(line, values, "right")
+    tied = values[(end > 1) & (line[end - 2] == values)] if len(at) else values
+    if len(at) and np.isnan(line[-1]) or len(tied := np.unique(tied)) > FEW_TIES:
         rank = np.empty(len(s), np.int64)
         rank[descending(s)] = np.arange(len(s))
-        return rank[at]
+        order = np.argsort(rank[at])
+        return order, rank[at][order]
+    if not len(tied):
+        return up[::-1], (len(s) - end)[::-1]
+    rank = np.empty(len(s), np.int64)
+    rank[at[up]] = len(s) - end
+    for value in tied:
+        rank[np.flatnonzero(s == value)] = len(s) - np.searchsorted(line, value, "right") + np.arange((s == value).sum())
+    order = np.argsort(rank[at])
+    return order, rank[at][order]
+
+
+def places(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ranks from 0 of the scores at ``at``, as by ``descending``."""
+    order, rank = in_order(s, at)
+    out = np.empty(len(at), np.int64)
+    out[order] = rank
     return out
 
 
@@ -143,11 +171,11 @@ def _tiled(rows: int) -> int:
     return -(-rows // TILE) * TILE
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of a with those of b, which fill whole tiles: equal rows then have equal products wherever they stand."""
+def products(a: np.ndarray, b: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    """Inner products of the rows of a with those of b, which fill whole tiles: equal rows then have equal products wherever they stand. ``out`` has room for them."""
     if len(a) % TILE:
         a = np.concatenate([a, np.zeros((_tiled(len(a)) - len(a), a.shape[1]))])
-    return a @ b.T
+    return np.matmul(a, b.T, out=None if out is None else out[: len(a)])
 
 
 def _gathered(batches: Iterable[pa.RecordBatch]) -> tuple:
@@ -204,9 +232,11 @@ def _visits(make: Callable, names: list[str]):
         for i, m in zip(qai, qam):
             if not (qi == i).any():
                 yield visit(i, m, None)
-        same, step = [], _tiled(-(-HELD_SCORES // max(1, len(d))))
+        same, step = [], max(TILE, min(_tiled(-(-HELD_SCORES // max(1, len(d)))), _tiled(len(q))))
+        room = np.empty((step, len(d)))
         for start in range(0, len(q), step):
-            s = products(q[start : start + step], d)[:, : len(ids)]
+            same = [x.copy() for x in same]
+            s = products(q[start : start + step], d, room)[:, : len(ids)]
             for n in range(start, min(start + step, len(q))):
                 same.append(s[n - start])
                 if n + 1 < len(q) and qi[n + 1] == qi[n]:
@@ -215,7 +245,6 @@ def _visits(make: Callable, names: list[str]):
                 one = visit if len(same) == 1 else make(np.repeat(ids, len(same)), np.repeat(marks, len(same)), *absent)
                 yield one(qi[n], qm[n], same[0] if len(same) == 1 else np.stack(same).T.ravel())
                 same = []
-            del s  # before the next ones are made
 
     return lambda batches: together(rows(batches), names)
 
@@ -224,8 +253,8 @@ def against(queries: DataFrame, database: DataFrame, make: Callable, schema: str
     """What a visitor makes of each query and the whole database; rows are ``(id, vec)`` and a whole number named by ``mark``, vectors of equal width.
 
     ``make(ids, marks, absent ids, absent marks)`` gets the database, sorted by id; the absent have no
-    whole vector. It returns ``visit(id, mark, sims)``, which returns columns of ``schema``, or None;
-    ``sims`` is None for a query without a whole vector. A null mark is NONE; null ids go.
+    whole vector. It returns ``visit(id, mark, sims)``, which returns columns of ``schema``, or None, and
+    keeps no view of ``sims``, which is None for a query without a whole vector. A null mark is NONE; null ids go.
     """
     vec = doubles(F.col("vec"))
     fine = F.coalesce(F.forall(vec, lambda x: x.isNotNull()), F.lit(False))
