@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles
 
 SMALL = 1 << 22
+# queries from which on the rows they go to are dealt anew
+DEALT = 64
 CELLS = 1 << 22
 # values of a block of queries, of a database kept in memory, and scores at a time
 QUERY_VALUES, HELD_VALUES, HELD_SCORES = 1 << 22, 1 << 23, 1 << 22
@@ -52,11 +54,11 @@ def _emit(queries: np.ndarray, a: np.ndarray, items: np.ndarray, b: np.ndarray,
     for part in slabs(len(queries), len(items)):
         s = a[part] @ b.T
         if k is None or k >= len(items):
-            row, col = np.divmod(np.arange(s.size), max(1, len(items)))
+            columns = [np.repeat(queries[part], len(items)), np.tile(items, len(s)), s.ravel()]
         else:
             edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
             row, col = np.nonzero(s >= edge[:, None])
-        columns = [queries[part][row], items[col], s[row, col]]
+            columns = [queries[part][row], items[col], s[row, col]]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "image_id", "sim"])
 
 
@@ -89,7 +91,7 @@ def blocks(rows: DataFrame, count: int, size: int, name: str) -> tuple[DataFrame
 
 
 def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block: int = 4096, query_block: int = 4096, small: int = SMALL) -> DataFrame:
-    """``(query_id, image_id, sim)`` for ``(id, vec)`` rows of equal width."""
+    """``(query_id, image_id, sim)`` for ``(id, vec)`` rows of equal width. Few queries go to the rows, which are dealt over all cores however few files they come from."""
     flat = lambda df: whole(df.select(F.col("id").cast("long").alias("id"), doubles(F.col("vec")).alias("vec")))
     q, d = flat(queries), flat(database)
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("w")).first()
@@ -97,6 +99,8 @@ def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block:
         held = q.toArrow().combine_chunks()
         ids = held["id"].to_numpy()
         vectors = dense(held["vec"].combine_chunks()) if len(ids) else np.zeros((0, 1))
+        if len(ids) > DEALT:
+            d = d.repartition(2 * d.sparkSession.sparkContext.defaultParallelism, "id")
         return d.mapInArrow(_beside(ids, vectors, k), SCORES)
     d, number = blocks(d, d.count(), block, "d")
     q, _ = blocks(q, size["n"], query_block, "q")
