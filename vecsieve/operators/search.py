@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import doubles
 
 SMALL = 1 << 22
+WIDE = Context(prec=400)
 # queries from which on the rows they go to are dealt anew
 DEALT = 64
 CELLS = 1 << 22
@@ -50,7 +52,29 @@ def slabs(rows: int, columns: int) -> Iterator[slice]:
     return (slice(i, i + step) for i in range(0, rows, step))
 
 
-def _emit(queries: np.ndarray, a: np.ndarray, items: np.ndarray, b: np.ndarray, k: int | None) -> Iterator[pa.RecordBatch]:
+def rounded(x: np.ndarray, digits: int | None) -> np.ndarray:
+    """``F.round`` of the values, half up by their decimals, as they are without ``digits``."""
+    if digits is None:
+        return x
+    if len(x) > 1 << 16:
+        out = np.empty(len(x))
+        for i in range(0, len(x), 1 << 16):
+            out[i : i + (1 << 16)] = rounded(x[i : i + (1 << 16)], digits)
+        return out
+    scale = 10.0**digits
+    y = np.abs(x) * scale
+    down = np.floor(y)
+    with np.errstate(invalid="ignore"):
+        rest = y - down
+    out = np.copysign(down + (rest >= 0.5), x) / scale + 0.0
+    # where the product may stand on the other side of the half, or is too large
+    for i in np.flatnonzero(~((np.abs(rest - 0.5) > 1e-6) & (y < 1 << 30))):
+        exact = Decimal(repr(float(x[i])))
+        out[i] = float(exact.quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP, WIDE)) + 0.0 if exact.is_finite() else x[i]
+    return out
+
+
+def _emit(queries: np.ndarray, a: np.ndarray, items: np.ndarray, b: np.ndarray, k: int | None, digits: int | None) -> Iterator[pa.RecordBatch]:
     for part in slabs(len(queries), len(items)):
         s = a[part] @ b.T
         if k is None or k >= len(items):
@@ -59,27 +83,28 @@ def _emit(queries: np.ndarray, a: np.ndarray, items: np.ndarray, b: np.ndarray,
             edge = -np.partition(-s, k - 1, axis=1)[:, k - 1]
             row, col = np.nonzero(s >= edge[:, None])
             columns = [queries[part][row], items[col], s[row, col]]
+        columns[2] = rounded(columns[2], digits)
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "image_id", "sim"])
 
 
 SCORES = "query_id long, image_id long, sim double"
 
 
-def _beside(ids: np.ndarray, vectors: np.ndarray, k: int | None):
+def _beside(ids: np.ndarray, vectors: np.ndarray, k: int | None, digits: int | None):
     def run(batches):
         for batch in batches:
             if len(batch) and len(ids):
-                yield from _emit(ids, vectors, batch["id"].to_numpy(), dense(batch["vec"]), k)
+                yield from _emit(ids, vectors, batch["id"].to_numpy(), dense(batch["vec"]), k, digits)
 
     return run
 
 
-def _between(k: int | None):
+def _between(k: int | None, digits: int | None):
     def run(batches):
         for batch in batches:
             for q, d in zip(batch["q_rows"], batch["d_rows"]):
                 (queries, a), (items, b) = ((x.values.field("id").to_numpy(), dense(x.values.field("vec"))) for x in (q, d))
-                yield from _emit(queries, a, items, b, k)
+                yield from _emit(queries, a, items, b, k, digits)
 
     return run
 
@@ -90,8 +115,8 @@ def blocks(rows: DataFrame, count: int, size: int, name: str) -> tuple[DataFrame
     return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "vec")).alias(f"{name}_rows")), number
 
 
-def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block: int = 4096, query_block: int = 4096, small: int = SMALL) -> DataFrame:
-    """``(query_id, image_id, sim)`` for ``(id, vec)`` rows of equal width. Few queries go to the rows, which are dealt over all cores however few files they come from."""
+def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block: int = 4096, query_block: int = 4096, small: int = SMALL, digits: int | None = None) -> DataFrame:
+    """``(query_id, image_id, sim)`` for ``(id, vec)`` rows of equal width. Few queries go to the rows, which are dealt over all cores however few files they come from. ``digits`` rounds the scores where they are made."""
     flat = lambda df: whole(df.select(F.col("id").cast("long").alias("id"), doubles(F.col("vec")).alias("vec")))
     q, d = flat(queries), flat(database)
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("vec")), F.lit(0)).alias("w")).first()
@@ -101,11 +126,11 @@ def scores(queries: DataFrame, database: DataFrame, k: int | None = None, block:
         vectors = dense(held["vec"].combine_chunks()) if len(ids) else np.zeros((0, 1))
         if len(ids) > DEALT:
             d = d.repartition(2 * d.sparkSession.sparkContext.defaultParallelism, "id")
-        return d.mapInArrow(_beside(ids, vectors, k), SCORES)
+        return d.mapInArrow(_beside(ids, vectors, k, digits), SCORES)
     d, number = blocks(d, d.count(), block, "d")
     q, _ = blocks(q, size["n"], query_block, "q")
     q = q.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(number - 1).cast("long"))))
-    return q.join(d.hint("merge"), "d").select("q_rows", "d_rows").mapInArrow(_between(k), SCORES)
+    return q.join(d.hint("merge"), "d").select("q_rows", "d_rows").mapInArrow(_between(k, digits), SCORES)
 
 
 def pairs(queries: DataFrame, database: DataFrame, block: int = 65536) -> DataFrame:
