@@ -7,6 +7,7 @@ Local descriptors are rows ``(image_id, kp, vec)``. Encodings stay sparse and lo
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from .search import dense, nearest_words, rounded, slabs, whole
 
+# ids in a packed row at most; images that are written with query after query, and queries at a time
+COPIES, FEW_IMAGES, MANY_QUERIES = 64, 256, 2048
+
 
 def _batches(batches):
     """Images and vectors of batches of local descriptors."""
@@ -76,7 +80,7 @@ def _matrix(entries: tuple, rows: int, terms: np.ndarray) -> tuple[np.ndarray, n
 
 
 def _meet(batches, digits: int | None = None):
-    """Sums of products of every query, which come first, with every row that shares a coordinate with it."""
+    """Sums of products of every query, which come first, with every row that shares a coordinate with it; a row stands for all its ids."""
     queries = []
     for batch in batches:
         asked = batch["_q"].to_numpy(zero_copy_only=False)
@@ -93,25 +97,52 @@ def _meet(batches, digits: int | None = None):
                     part = slice(part.start, min(part.stop, len(rows)))
                     b, there = _matrix(_rows_of(rows, part), part.stop - part.start, terms)
                     s, both = a @ b.T, shared @ there.T > 0
-                    i, j = np.nonzero(both)
-                    yield _long(["query_id", "image_id", "sim"], q["image_id"].to_numpy()[some][i], rows["image_id"].to_numpy()[part][j], rounded(s[i, j], digits))
+                    for i in slabs(*s.shape):
+                        s[i] = rounded(s[i].ravel(), digits).reshape(s[i].shape)
+                    yield from _spread(_ids(q, some), _ids(rows, part), s, both)
+
+
+def _ids(batch: pa.RecordBatch, at: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a slice of packed rows, and their row in it."""
+    ids = batch["ids"].slice(at.start, at.stop - at.start)
+    return ids.flatten().to_numpy(), np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
+
+
+def _spread(queries: tuple, images: tuple, s: np.ndarray, both: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the pairs in ``both``, a few images with query after query: columns then repeat themselves at short distances, and files of them stay small."""
+    (query, row), (image, column) = queries, images
+    for at in range(0, len(image), FEW_IMAGES):
+        some, where = image[at : at + FEW_IMAGES], column[at : at + FEW_IMAGES]
+        sims, shared = s[:, where], both[:, where]
+        for start in range(0, len(query), MANY_QUERIES):
+            asked, own = query[start : start + MANY_QUERIES], row[start : start + MANY_QUERIES]
+            met = shared[own]
+            yield _long(["query_id", "image_id", "sim"], np.repeat(asked, met.sum(1)), np.broadcast_to(some, met.shape)[met], sims[own][met])
 
 
-def sparse_scores(queries: DataFrame, database: DataFrame, key: list[str], value: str = "w", block: int = 16384, digits: int | None = None) -> DataFrame:
-    """``(query_id, image_id, sim)`` of the pairs that share a coordinate. Queries in blocks meet slices of the database, each pair in one task; coordinates are told apart by 64-bit hashes. ``digits`` rounds the sums where they are made."""
+def sparse_scores(queries: DataFrame, database: DataFrame, key: list[str], value: str = "w", block: int = 16384, digits: int | None = None, copies: bool = False) -> DataFrame:
+    """``(query_id, image_id, sim)`` of the pairs that share a coordinate. Queries in blocks meet slices of the database, each pair in one task; coordinates are told apart by 64-bit hashes. ``digits`` rounds the sums where they are made. With ``copies`` rows of equal values are scored once and lie side by side."""
 
     def packed(df: DataFrame) -> DataFrame:
-        one = F.collect_list(F.struct(F.xxhash64(*key).alias("c"), F.col(value).alias("v")))
-        return df.filter(F.col(value).isNotNull()).groupBy("image_id").agg(one.alias("e")).select("image_id", F.col("e.c").alias("c"), F.col("e.v").alias("v"))
+        one = F.sort_array(F.collect_list(F.struct(F.xxhash64(*key).alias("c"), F.col(value).alias("v"))))
+        out = df.filter(F.col(value).isNotNull()).groupBy("image_id").agg(one.alias("e")).select("image_id", F.col("e.c").alias("c"), F.col("e.v").alias("v"))
+        if not copies:
+            return out.select(F.array("image_id").alias("ids"), "c", "v", F.xxhash64("image_id").alias("_o"), F.xxhash64("image_id").alias("_d"))
+        out = out.groupBy("c", "v").agg(F.sort_array(F.collect_list("image_id")).alias("ids"))
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / COPIES).cast("int")), lambda i: F.slice("ids", i * COPIES + 1, F.lit(COPIES)))
+        # values that differ in their last digits only are neighbours too
+        alike = F.xxhash64("c", F.transform("v", lambda x: F.round(x, 9)))
+        out = out.select("c", "v", alike.alias("_o"), F.posexplode(some).alias("_n", "ids"))
+        return out.select("ids", "c", "v", "_o", F.xxhash64("_o", "_n").alias("_d"))
 
     ids = queries.select("image_id").agg(F.approx_count_distinct("image_id")).first()[0]
     blocks, slices = 1 + ids // block, 2 * queries.sparkSession.sparkContext.defaultParallelism
     over = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("image_id"), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.col("_d"), F.lit(n)).cast("int")
     q = packed(queries).select("*", deal(blocks).alias("_b"), over(slices).alias("_s"), F.lit(True).alias("_q"))
     d = packed(database).select("*", over(blocks).alias("_b"), deal(slices).alias("_s"), F.lit(False).alias("_q"))
     dealt = q.unionByName(d).withColumn("_p", (F.col("_b") * slices + F.col("_s")).cast("int")).repartitionById(blocks * slices, "_p")
-    return dealt.sortWithinPartitions(F.desc("_q")).select("image_id", "c", "v", "_q").mapInArrow(partial(_meet, digits=digits), "query_id long, image_id long, sim double")
+    return dealt.sortWithinPartitions(F.desc("_q"), "_o").select("ids", "c", "v", "_q").mapInArrow(partial(_meet, digits=digits), "query_id long, image_id long, sim double")
 
 
 def power(value: str, alpha: float | None) -> Column:

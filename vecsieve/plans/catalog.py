@@ -139,11 +139,11 @@ query("idf", TF + " SELECT word, round(idf, 6) AS idf FROM idf")(lambda v: _six(
 query("tfidf_encode", TF + " SELECT image_id, word, round(w, 6) AS w FROM tfidf")(lambda v: _six(_tfidf(v), "w"))
 
 
-def _cross(coded: DataFrame, key: list[str], value: str) -> DataFrame:
-    return E.sparse_scores(coded.filter("image_id % 10 = 0"), coded.filter("image_id % 10 != 0"), key, value, digits=6)
+def _cross(coded: DataFrame, key: list[str], value: str, copies: bool = False) -> DataFrame:
+    return E.sparse_scores(coded.filter("image_id % 10 = 0"), coded.filter("image_id % 10 != 0"), key, value, digits=6, copies=copies)
 
 
-query("bow_rank", TF + " SELECT a.image_id AS query_id, b.image_id, round(sum(a.w * b.w), 6) AS sim FROM tfidf a JOIN tfidf b USING (word) WHERE a.image_id % 10 = 0 AND b.image_id % 10 <> 0 GROUP BY ALL")(lambda v: _cross(_tfidf(v), ["word"], "w"))
+query("bow_rank", TF + " SELECT a.image_id AS query_id, b.image_id, round(sum(a.w * b.w), 6) AS sim FROM tfidf a JOIN tfidf b USING (word) WHERE a.image_id % 10 = 0 AND b.image_id % 10 <> 0 GROUP BY ALL")(lambda v: _cross(_tfidf(v), ["word"], "w", copies=True))
 query("vlad_raw", VLAD + " SELECT image_id, word, dim, round(value, 6) AS value FROM raw")(lambda v: _six(E.vlad_raw(v.local(), v.centers).withColumn("dim", F.col("dim").cast("long")), "value"))
 query("vlad_encode", VLAD + " SELECT image_id, word, dim, round(value, 6) AS value FROM vlad")(lambda v: _six(E.vlad_encode(E.vlad_raw(v.local(), v.centers)).withColumn("dim", F.col("dim").cast("long")), "value"))
 query("vlad_rank", VLAD + " SELECT a.image_id AS query_id, b.image_id, round(sum(a.value * b.value), 6) AS sim FROM vlad a JOIN vlad b USING (word, dim) WHERE a.image_id % 10 = 0 AND b.image_id % 10 <> 0 GROUP BY ALL")(lambda v: _cross(E.vlad_encode(E.vlad_raw(v.local(), v.centers)), ["word", "dim"], "value"))
